@@ -13,6 +13,7 @@ from seriesmill.llm.common import stored, text_or_empty, with_hot
 
 SHARD_KEYS = 500_000  # keys of a filter; a task builds or probes one filter at a time
 SALT_ROWS = 256  # rows of a group that meet one copy of its representative
+SEMI_KEYS = 1_000_000  # groups whose 8-byte keys may be broadcast to keep other texts out of the shuffle
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -176,6 +177,9 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, digest: Callable[[Column],
     # Bytes: only members of groups travel with their texts.
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), digest(body).alias("digest"))
+    if groups.count() <= SEMI_KEYS:
+        keys = groups.select(F.xxhash64("digest").alias("key"))
+        texts = texts.withColumn("key", F.xxhash64("digest")).join(F.broadcast(keys), "key", "left_semi").drop("key")
     member = with_hot(texts, groups, "digest", "group_size", total).where("group_size IS NOT NULL")
     member = stored(member, "members")
     lead = member.where("doc_id <=> keep_id").groupBy("digest", "group_size").agg(F.min("body").alias("lead")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
