@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import exact_dedup, simhash
-from seriesmill.llm.common import table
+from seriesmill.llm import bpe, exact_dedup, permutation_index, simhash, token_files, warc
+from seriesmill.llm.common import shared_path, table
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,39 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_exact_dedup": op4_exact_dedup}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with the byte-level vocabulary and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth id."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, written to ORC in document order and read back."""
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return token_files.with_crc32(token_files.read_tokens(spark, path))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_bpe": op6_bpe,
+    "op7_permutation_index": op7_permutation_index,
+    "op9_token_files": op9_token_files,
+    "op10_warc": op10_warc,
+}
 
 SQL = {
     "op4_exact_dedup": """
@@ -31,4 +64,12 @@ SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
         FROM d JOIN g USING (body)
     """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+             g AS (SELECT body, min(page_id) AS first FROM p WHERE octet_length(body) >= 100 GROUP BY body)
+        SELECT p.page_id, octet_length(p.body)::BIGINT AS payload_bytes, sha256(p.body) AS payload_digest,
+               CASE WHEN g.first IS DISTINCT FROM p.page_id AND g.body IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.first IS DISTINCT FROM p.page_id THEN g.first END AS refers_to
+        FROM p LEFT JOIN g USING (body)
+    """,
 }
