@@ -6,10 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, exact_dedup, permutation_index, simhash, token_files, warc
+from seriesmill.llm import bpe, exact_dedup, lattice_lm, licence, packing, permutation_index, simhash, token_files, toxicity, warc
 from seriesmill.llm.common import shared_path, table
 
 
+def op1_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named by the paragraphs of every text."""
+    docs = table(spark, sf_dir, "documents")
+    found = licence.scan(docs, licence.train(docs))
+    names = F.array_sort(F.array_distinct("findings.family"))
+    sure = F.array_sort(F.array_distinct(F.filter("findings", lambda x: x.confirmed).family))
+    return found.select("doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_findings"), F.concat_ws(",", names).alias("families"), F.concat_ws(",", sure).alias("confirmed_families"), F.array_min("findings.probability").alias("least_probability"))
+
+
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-text probabilities under the subword lattice and the add-one word model."""
+    return lattice_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` at 4 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, width=4)
@@ -23,6 +37,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every text."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with the byte-level vocabulary and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +56,11 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in bins of 8,192 bytes, no two of a source or a duplicate cluster in one."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, written to ORC in document order and read back."""
     path = shared_path(spark, "tokens")
@@ -49,10 +74,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence": op1_licence,
+    "op2_lattice_lm": op2_lattice_lm,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_permutation_index": op7_permutation_index,
+    "op8_packing": op8_packing,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
