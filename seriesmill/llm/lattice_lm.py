@@ -18,7 +18,9 @@ from seriesmill.llm.common import stored, text_or_empty
 FLUSH = 150_000  # distinct words a task counts before it passes them on
 HOT = 1 << 17  # most frequent words whose counts every task holds; all others meet theirs in a shuffle
 PRIOR = 100.0  # the vocabulary's own scores: a piece of rank r starts with a weight of 1 / (r + PRIOR)
+ROUNDS = 3  # EM steps
 SMOOTH = 0.1  # added to the expected count of each piece and of the end
+DISCOUNT = 0.75  # taken from each training word's count for the pieces' segmentations
 LOG10 = np.log(10.0)
 
 
@@ -57,6 +59,7 @@ class Lattice:
             order = np.argsort(keys)
             self.by_length[n] = keys[order], ids[order]
         self.none = len(pieces)
+        self.initial = np.array([i for i in usable if pieces[i].startswith(b" ")])
 
     @classmethod
     def _fold(cls, rows: np.ndarray) -> np.ndarray:
@@ -180,30 +183,50 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long, total long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
-def train(words: DataFrame, pieces: list[bytes], ends: int) -> Lattice:
-    """A lattice whose scores are one EM step over all training words from the vocabulary's own scores.
+def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS) -> Lattice:
+    """A lattice whose scores are EM steps over all training words from the vocabulary's own scores.
 
     Each task adds up expected uses for its words; per piece they are summed
     before they reach the driver, at most one row a piece. ``ends`` is the
     number of training texts. All probabilities, with the end's, sum to one.
     """
     start = 1 / (np.arange(len(pieces)) + PRIOR)
-    begin = Lattice(pieces, np.log(start / start.sum()), 0.0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(pieces))
-        for b in batches:
-            total += begin.expected(b.column(0).to_pylist(), b.column(1).to_numpy())
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
-
-    found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-    uses = np.full(len(pieces) + 1, SMOOTH)
-    for r in found:
-        uses[r.piece] += r.uses
-    uses[-1] += ends
-    logs = np.log(uses / uses.sum())
-    return Lattice(pieces, logs[:-1], float(logs[-1]))
+    lattice = Lattice(pieces, np.log(start / start.sum()), 0.0)
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], now: Lattice = lattice) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(now.none)
+            for b in batches:
+                total += now.expected(b.column(0).to_pylist(), b.column(1).to_numpy())
+            used = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
+
+        found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        uses = np.full(len(pieces) + 1, SMOOTH)
+        for r in found:
+            uses[r.piece] += r.uses
+        uses[-1] += ends
+        logs = np.log(uses / uses.sum())
+        lattice = Lattice(pieces, logs[:-1], float(logs[-1]))
+    return lattice
+
+
+def word_logs(lattice: Lattice, words: list[bytes], counts: np.ndarray, n: int, types: int) -> np.ndarray:
+    """Natural log-probabilities of words as tokens.
+
+    A training word is a piece of its own besides the vocabulary's, weighted by
+    its discounted share of the ``n`` training tokens; what the discount takes
+    from the ``types`` distinct tokens weights the segmentations into vocabulary
+    pieces, scaled to sum to one over words. Without training tokens the
+    vocabulary's pieces stand alone.
+    """
+    spelled = lattice.marginals(words)
+    if not n:
+        return spelled
+    first = np.exp(lattice.logs[:-1][lattice.initial]).sum()
+    share = np.log(DISCOUNT * types / n) + np.log1p(np.exp(lattice.end) / first)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 0) / n), spelled + share)
 
 
 def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,8 +234,9 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     Tokens are the runs of other than ASCII white space, ASCII letters in lower
     case, and an end. Training texts are those whose id's crc32 does not leave 2
-    by 7. ``base_score`` is the add-one word model, ``score`` the lattice's: both
-    log10 probabilities of the whole text. Words are counted in a first pass
+    by 7. ``base_score`` is the add-one word model, ``score`` the lattice's, with
+    training words among its pieces: both log10 probabilities of the whole text;
+    the lattice spells unknown words out, which the word model leaves open. Words are counted in a first pass
     over all texts; in a second each task scores the HOT most frequent words
     from counts it holds, and passes on a text's other words, which meet their
     counts in a shuffle keyed by word. Null and empty texts are an end alone. A
@@ -230,14 +254,14 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = lattice.marginals(b.column(0).to_pylist()) / LOG10
+            s = word_logs(lattice, b.column(0).to_pylist(), b.column(1).to_numpy(), n, v) / LOG10
             yield pa.record_batch([*b.columns, pa.array(s)], names=["word", "c", "total", "s"])
 
     known = stored(counts.mapInArrow(weigh, "word binary, c long, total long, s double"), "scored")
     top = known.orderBy(F.desc("total"), "word").limit(HOT).select("word", "c", "s").toPandas()
     hot = docs.sparkSession.sparkContext.broadcast({bytes(w): (int(c > 0), float(np.log10(c + 1)), s) for w, c, s in top.itertuples(index=False)})
     below = float(np.log10(n + v + 1)) if n else 0.0
-    end_base, end_known, end_score = float(np.log10(ends + 1)), int(ends > 0), lattice.end / LOG10
+    end_base, end_known, end_score = float(np.log10(ends + 1)), int(ends > 0), float(np.log10((ends - DISCOUNT) / n)) if n else lattice.end / LOG10
     fields = "row long, doc_id long, held_out boolean, n long, known long, base double, score double, rare array<binary>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
