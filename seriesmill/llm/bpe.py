@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import text_or_empty
+from seriesmill.llm.common import remembered, text_or_empty
 
 LEAF = 2048  # characters of a piece encoded on their own
-CACHE = 700_000  # chunks whose ids a worker remembers
+CACHE = 500_000  # chunks whose ids a worker remembers
 WINDOW = 1 << 20  # characters of a text split at a time
 FIRST = 8  # tokens on either side of a join that are encoded again at first
 
@@ -25,6 +26,10 @@ SPACES = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
+#: Letters of ASCII and Latin-1 with a blank before them or not, then marks of ASCII other than those of contractions and special tokens.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{}~]*)")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -75,6 +80,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = [bytes(value[c] for c in t) if i not in self.special.values() else t.encode() for i, t in enumerate(self.letters)]
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.merges, self.alphabet = self.whole.model, byte_letters()
         self.known: dict[str, bytes] = {}
 
     def _core(self, piece: str) -> list[int]:
@@ -95,13 +101,25 @@ class Encoder:
         pieces = self.whole.pre_tokenizer.pre_tokenize_str(chunk)
         return [t for p, _ in pieces for t in (self.tree(p) if len(p) > self.leaf else self._core(p))]
 
+    def _merged(self, piece: str) -> bytes:
+        """The ids of one piece that the pattern leaves whole."""
+        found = self.known.get(piece)
+        if found is None:
+            plain = piece if piece.isascii() and piece.isalnum() else "".join(self.alphabet[b] for b in piece.encode())
+            found = self.known[piece] = array("i", [t.id for t in self.merges.tokenize(plain)] if plain else []).tobytes()
+        return found
+
     def _learn(self, chunks: set[str]) -> None:
-        short = [c for c in chunks if len(c) <= self.leaf]
-        for c, e in zip(short, self.whole.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, dtype="<i4").tobytes()
+        rest = []
         for c in chunks:
             if len(c) > self.leaf:
-                self.known[c] = np.array(self._long(c), dtype="<i4").tobytes()
+                self.known[c] = array("i", self._long(c)).tobytes()
+            elif m := _PLAIN.fullmatch(c):
+                self.known[c] = self._merged(m[1]) + self._merged(m[2])
+            else:
+                rest.append(c)
+        for c, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[c] = array("i", e.ids).tobytes()
 
     def _windows(self, text: str) -> Iterator[list[str]]:
         at, width = 0, WINDOW
@@ -128,7 +146,7 @@ class Encoder:
                     self._learn(new)
                 out.append(b"".join(map(self.known.__getitem__, chunks)))
                 for c in (c for c in new if len(c) > self.leaf):
-                    del self.known[c]
+                    self.known.pop(c, None)
         return np.frombuffer(b"".join(out), dtype="<i4")
 
     def decode(self, ids: list[int]) -> str:
@@ -163,7 +181,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = remembered(("bpe", path), lambda: Encoder(path))
         for batch in batches:
             for b in slices(batch, 1):
                 yield pa.record_batch([b.column(0), lists([encoder.encode(x.as_py()) for x in b.column(1)])], names=["doc_id", "ids"])
@@ -176,7 +194,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text of ``ids``; special tokens are kept, null counts as no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = remembered(("bpe", path), lambda: Encoder(path))
         for b in batches:
             column = b.column(b.schema.get_field_index(ids))
             texts = [encoder.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in column]

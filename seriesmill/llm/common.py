@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remembered(key: tuple, make: Callable):
+    """What ``make`` gave for ``key``, kept by a worker process from task to task."""
+    store = sys.modules.setdefault("seriesmill_worker", types.ModuleType("seriesmill_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
