@@ -209,7 +209,7 @@ def losses(gradient: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = forecasts(spark, sf_dir)[0].select("unique_id", "ds", (F.col("y") / 1e6).alias("y"), (F.col("naive") / 1e6).alias("f"), (F.col("ma3") / 1e6).alias("fc"))
         y, f, fc = F.col("y"), F.col("f"), F.col("fc")
-        return shown(rows.select("unique_id", "ds", *[expert_loss(k, gradient)(f, y, fc).alias(k) for k in (*LOSSES, "pinball")]))
+        return shown(rows.select("unique_id", "ds", *[expert_loss(k, gradient)(f, y, fc).alias(k) for k in (*LOSSES, "pinball")]), 9)
 
     return run
 

@@ -181,7 +181,7 @@ def ade(k: int, weights: bool) -> str:
 
 
 def losses(gradient: bool) -> str:
-    columns = ", ".join(f"round({loss(k, gradient, 'f', 'fc')}, 6) + 0.0 AS {k}" for k in ("square", "absolute", "percentage", "log", "pinball"))
+    columns = ", ".join(f"round({loss(k, gradient, 'f', 'fc')}, 9) + 0.0 AS {k}" for k in ("square", "absolute", "percentage", "log", "pinball"))
     return forecasts() + f" SELECT unique_id, ds::VARCHAR AS ds, {columns} FROM (SELECT unique_id, ds, y / 1e6 AS y, naive / 1e6 AS f, ma3 / 1e6 AS fc FROM past)"
 
 
