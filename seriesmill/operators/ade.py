@@ -142,7 +142,7 @@ class ForecasterADE(ADE):
     past by rows of the panel where the horizon is None, else of the future.
     """
 
-    alias = "MLForecastADE"
+    alias = "ForecasterADE"
 
     def __init__(self, forecasters: list[Callable], freq: str, trim_ratio: float = 1.0, meta_lags: list[int] | None = None, meta_model=None):
         super().__init__(freq, meta_lags, trim_ratio, True, meta_model)
