@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,7 +65,18 @@ def select_words(sets: list[set[bytes]], toxic: np.ndarray, limit: int = FEATURE
     return [keys[i] for i in order if abs(z[i]) > 5]
 
 
+def word_sets(texts: Iterable[bytes]) -> list[set[bytes]]:
+    """The distinct words of each text; equal words are one object."""
+    seen: dict[bytes, bytes] = {}
+    return [{seen.setdefault(w, w) for w in words(t)} for t in texts]
+
+
 def fit(texts: list[bytes], toxic: list[int], steps: int = STEPS) -> Model:
+    """fit_sets on the words of ``texts``."""
+    return fit_sets(word_sets(texts), np.array(toxic, dtype=int) > 0, steps)
+
+
+def fit_sets(sets: list[set[bytes]], flags: np.ndarray, steps: int = STEPS) -> Model:
     """Fits weights shared by all thresholds, and the thresholds, to severity grades.
 
     Labels only tell toxic from not. A toxic text's grade rises with the number
@@ -76,7 +87,6 @@ def fit(texts: list[bytes], toxic: list[int], steps: int = STEPS) -> Model:
     gap that separates the training labels best. Without both labels nothing is
     rejected.
     """
-    flags, sets = np.array(toxic, dtype=int) > 0, [set(words(t)) for t in texts]
     names = select_words(sets, flags) if flags.any() and not flags.all() else []
     if not names:
         return Model({}, np.array([20.0, 21.0, 22.0]))
@@ -90,16 +100,16 @@ def fit(texts: list[bytes], toxic: list[int], steps: int = STEPS) -> Model:
     rate = np.zeros((2, len(names)))
     np.add.at(rate, (flags[rows].astype(int), cols), 1)
     telling = rate[1] > 20 * rate[0]
-    hits = np.bincount(rows, weights=telling[cols].astype(float), minlength=len(texts))
+    hits = np.bincount(rows, weights=telling[cols].astype(float), minlength=len(sets))
     grade = np.where(flags, np.maximum(1, np.searchsorted(GRADES, hits, side="right")), 0)
     levels = len(GRADES)
     w, base, gaps = np.zeros(len(names)), 2.0, np.zeros(levels - 1)
-    scale = 1 / len(texts)
+    scale = 1 / len(sets)
     state = [np.zeros(len(names) + levels), np.zeros(len(names) + levels)]
     for step in range(1, steps + 1):
         theta = base + np.r_[0, np.cumsum(np.log1p(np.exp(gaps)))]
         edges = np.concatenate(([-np.inf], theta, [np.inf]))
-        x = np.bincount(rows, weights=w[cols], minlength=len(texts))
+        x = np.bincount(rows, weights=w[cols], minlength=len(sets))
         high, low = _logistic(edges[grade + 1] - x), _logistic(edges[grade] - x)
         p = np.maximum(high - low, 1e-12)
         d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
@@ -115,7 +125,7 @@ def fit(texts: list[bytes], toxic: list[int], steps: int = STEPS) -> Model:
         w, base, gaps = w - move[: len(names)], base - move[len(names)], gaps - move[len(names) + 1 :]
     theta = base + np.r_[0, np.cumsum(np.log1p(np.exp(gaps)))]
     model = Model({n: float(v) for n, v in zip(names, w, strict=True)}, theta)
-    model.cut = _cut(model.above(np.bincount(rows, weights=w[cols], minlength=len(texts)))[:, 0], flags)
+    model.cut = _cut(model.above(np.bincount(rows, weights=w[cols], minlength=len(sets)))[:, 0], flags)
     return model
 
 
@@ -138,8 +148,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     picked = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("body")).join(F.broadcast(picked), "doc_id")
     sizes = rows.select("doc_id", "toxic", "body").orderBy("doc_id", "body")
-    found = [(r.body, r.toxic) for r in sizes.toLocalIterator()]
-    return fit([bytes(b) for b, _ in found], [t for _, t in found])
+    flags: list[bool] = []
+
+    def bodies() -> Iterator[bytes]:
+        for r in sizes.toLocalIterator():
+            flags.append(r.toxic > 0)
+            yield bytes(r.body)
+
+    sets = word_sets(bodies())
+    return fit_sets(sets, np.array(flags, dtype=bool))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
