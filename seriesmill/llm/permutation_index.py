@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seriesmill.llm.common import stored
 
 PIVOTS = 256  # at most; drawn by hash of the id from a sample of 4 * PIVOTS vectors
+APART = 0.8  # largest cosine of two pivots, so that a crowd of vectors takes one place
 PREFIX = 64  # nearest pivots that represent a vector
 SHARE = 0.2  # of a block's vectors that are reranked
 LEAST = 100  # vectors of a block that are reranked at least
@@ -34,7 +35,11 @@ def _pivots(usable: DataFrame) -> np.ndarray:
     sizes = np.bincount([len(r.v) for r in rows])
     found = np.unique(np.array([r.v for r in rows if len(r.v) == sizes.argmax()]), axis=0)
     found /= np.linalg.norm(found, axis=1, keepdims=True)
-    return found[np.random.default_rng(0).permutation(len(found))[:PIVOTS]]
+    chosen: list[np.ndarray] = []
+    for v in found[np.random.default_rng(0).permutation(len(found))]:
+        if len(chosen) < PIVOTS and (not chosen or np.max(np.array(chosen) @ v) <= APART):
+            chosen.append(v)
+    return np.array(chosen)
 
 
 def _permutations(usable: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
