@@ -53,6 +53,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def least_hashes(rows: DataFrame, key: str, limit: int, *order: Column | str) -> DataFrame:
+    """At most ``limit`` rows, those of smallest hash of ``key``, ties by ``order``.
+
+    Of many rows only those with a hash in the share that holds about four times
+    the limit are sorted, so tasks send few rows to the driver.
+    """
+    n, hashed = rows.count(), F.xxhash64(key)
+    if n > 4 * limit:
+        rows = rows.where(hashed < F.lit(int(-(2**63) + 2**64 * 4 * limit / n)).cast("long"))
+    return rows.orderBy(hashed, *order).limit(limit)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (src, dst long): one row (id, component) per node, component the smallest id.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import text_or_empty
+from seriesmill.llm.common import least_hashes, text_or_empty
 
 SAMPLE = 2_000  # unlabelled documents whose paragraphs are learned as unknown, at most
 ORDER = 3  # words of the longest n-gram
@@ -159,7 +159,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: s
 
     Paragraphs that hold a whole template are left out.
     """
-    rows = docs.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).orderBy("h", "doc_id", F.sha2("body", 256)).limit(sample)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("body"))
+    rows = least_hashes(rows, "doc_id", sample, "doc_id", F.sha2("body", 256))
     whole = [tokens(t.encode()) for lines in TEMPLATES.values() for t in lines]
     paragraphs = sorted({p for r in rows.toLocalIterator() for p in r.body.encode().split(b"\n")})
     keep = [p for p in paragraphs if not any(b" ".join(t) in b" ".join(tokens(p)) for t in whole)]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import stored
+from seriesmill.llm.common import least_hashes, stored
 
 PIVOTS = 256  # at most; drawn by hash of the id from a sample of 4 * PIVOTS vectors
 APART = 0.8  # largest cosine of two pivots, so that a crowd of vectors takes one place
@@ -29,7 +29,7 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def _pivots(usable: DataFrame) -> np.ndarray:
-    rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PIVOTS).collect()
+    rows = least_hashes(usable, "vec_id", 4 * PIVOTS, "vec_id").collect()
     if not rows:
         return np.zeros((0, 0))
     sizes = np.bincount([len(r.v) for r in rows])

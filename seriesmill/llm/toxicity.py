@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import text_or_empty
+from seriesmill.llm.common import least_hashes, text_or_empty
 
 SAMPLE = 8_000  # labelled rows that are learned from, at most
 FEATURES = 2048  # words with a weight, at most
@@ -145,7 +145,7 @@ def _cut(p: np.ndarray, toxic: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Learns from at most ``sample`` labelled documents, those of smallest hash of the id; ids and labels must not be null."""
     named = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    picked = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = least_hashes(named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", sample, "doc_id")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("body")).join(F.broadcast(picked), "doc_id")
     sizes = rows.select("doc_id", "toxic", "body").orderBy("doc_id", "body")
     flags: list[bool] = []
