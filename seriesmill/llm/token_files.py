@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm.bpe import CACHE, lists, slices
-from seriesmill.llm.common import text_or_empty
+from seriesmill.llm.bpe import CACHE, byte_letters, lists, slices
+from seriesmill.llm.common import remembered, text_or_empty
 
 #: Row index entries every STRIDE rows; Bloom filters with a false-positive rate of FPP; stripes of about STRIPE bytes.
 STRIDE, FPP, STRIPE = 1000, 0.01, 64 << 20
+FILES = 100_000  # files whose bases may be broadcast
+#: Letters of ASCII and Latin-1, then marks of ASCII other than those of contractions and special tokens.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{}~]*)")
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -23,7 +28,8 @@ class WordEncoder:
     """A tokenizer whose words never cross ASCII white space, with the ids of recent words kept.
 
     Normalizing and splitting act on each run of other characters alone, so a
-    text's ids are those of its runs in order.
+    text's ids are those of its runs in order. A run of plain letters and marks
+    is one piece of each, and the merges take such a piece without the rest.
     """
 
     def __init__(self, path: str):
@@ -32,8 +38,31 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
+        self.merges, self.letters = self.whole.model, byte_letters()
         self.known: dict[bytes, bytes] = {}
 
+    def _merged(self, letters: bytes) -> bytes:
+        found = self.known.get(letters)
+        if found is None:
+            text = letters.decode().lower()
+            piece = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
+            found = self.known[letters] = array("i", [t.id for t in self.merges.tokenize(piece)]).tobytes()
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                letters, marks = m.groups()
+                tail = self.known.get(marks)
+                if tail is None:
+                    tail = self.known[marks] = array("i", self.whole.encode(marks.decode(), add_special_tokens=False).ids).tobytes()
+                self.known[w] = self._merged(letters.lower()) + tail
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.known[w] = array("i", e.ids).tobytes()
+
     def encode(self, text: bytes, window: int = 1 << 20) -> bytes:
         """Little-endian 32-bit ids of a text in UTF-8."""
         out, at = [], 0
@@ -45,13 +74,11 @@ class WordEncoder:
             if len(self.known) > CACHE:
                 self.known.clear()
             if new := [w for w in set(words) if w not in self.known]:
-                found = self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                for w, e in zip(new, found, strict=True):
-                    self.known[w] = np.array(e.ids, dtype="<i4").tobytes()
+                self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, words)))
             for w in new:
                 if len(w) > 256:
-                    del self.known[w]
+                    self.known.pop(w, None)
         return b"".join(out)
 
 
@@ -69,7 +96,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, at, end = WordEncoder(tokenizer), 0, np.int32(end_id).tobytes()
+        encoder, at, end = remembered(("words", tokenizer), lambda: WordEncoder(tokenizer)), 0, np.int32(end_id).tobytes()
         for batch in batches:
             for b in slices(batch, 1):
                 ids = [np.frombuffer(encoder.encode(x.as_py()) + end, dtype="<i4") for x in b.column(1)]
@@ -87,12 +114,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids, file) of the files under ``path``.
 
-    ``start`` adds the ids of earlier files, a sum over one row a file. Filters
+    ``start`` adds the ids of earlier files, a sum over one row a file; up to
+    FILES of them are broadcast, more are joined in a shuffle. Filters
     on doc_id reach the files' statistics, row indexes and Bloom filters.
     """
     rows = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_path"))
     files = spark.read.schema(SCHEMA).orc(path).select(F.col("_metadata.file_path").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n"))
     base = files.selectExpr("file", "sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS base")
+    base = F.broadcast(base) if len(rows.inputFiles()) <= FILES else base
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids", "file")
 
 
