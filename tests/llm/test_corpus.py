@@ -375,6 +375,26 @@ def test_nearest(spark):
     assert len(few) == 3 and permutation_index.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_pivots_stay_apart(spark):
+    """A crowd of like vectors gives one pivot."""
+    rng = np.random.default_rng(6)
+    x = np.r_[np.ones((300, 16)) + rng.normal(0, 0.01, (300, 16)), rng.normal(size=(300, 16))]
+    pivots = permutation_index._pivots(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>"))
+    near = pivots @ pivots.T - np.eye(len(pivots))
+    assert near.max() <= permutation_index.APART + 1e-9 and (pivots @ np.ones(16) / 4 > 0.99).sum() <= 1 and len(pivots) > 100
+
+
+def test_bounded_samples(spark):
+    rows = spark.range(5000)
+    kept = [r.id for r in common.least_hashes(rows, "id", 40, "id").collect()]
+    want = [r.id for r in rows.orderBy(F.xxhash64("id")).limit(40).collect()]
+    assert kept == want and common.least_hashes(rows.limit(0), "id", 40).count() == 0
+    words = spark.createDataFrame([(str(i).encode(), i % 50) for i in range(1000)], "word binary, c long")
+    found = lattice_lm.frequent_words(words, "c", 100).collect()
+    assert 0 < len(found) <= 100 and min(r.c for r in found) > 40
+    assert lattice_lm.frequent_words(words.limit(0), "c", 10).count() == 0 and lattice_lm.frequent_words(words, "c", 10**6).count() == 980
+
+
 def test_recall_on_embeddings(spark):
     rows = pd.read_parquet(f"{SF}/embeddings.parquet")
     x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
