@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from seriesmill.llm.common import stored, text_or_empty
 
 FLUSH = 150_000  # distinct words a task counts before it passes them on
-HOT = 1 << 17  # most frequent words whose counts every task holds; all others meet theirs in a shuffle
+HOT = 1 << 17  # at most so many frequent words whose counts every task holds; all others meet theirs in a shuffle
 PRIOR = 100.0  # the vocabulary's own scores: a piece of rank r starts with a weight of 1 / (r + PRIOR)
-ROUNDS = 3  # EM steps
+ROUNDS = 4  # EM steps; all but the last over the HOT most frequent training words
 SMOOTH = 0.1  # added to the expected count of each piece and of the end
 DISCOUNT = 0.75  # taken from each training word's count for the pieces' segmentations
+SHORT = 64  # bytes of the longest words that are scored together
 LOG10 = np.log(10.0)
 
 
@@ -46,20 +47,45 @@ class Lattice:
     marginal is the product of its words' and the end's.
     """
 
-    MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+    MULTIPLY, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray, end: float):
         usable = [i for i, p in enumerate(pieces) if not p[1:].count(b" ")]
         self.logs, self.end = np.append(logs, -np.inf), end
         self.longest = max(len(pieces[i]) for i in usable)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in {len(pieces[i]) for i in usable}:
-            ids = np.array([i for i in usable if len(pieces[i]) == n])
-            keys = self._fold(np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(len(ids), n))
-            order = np.argsort(keys)
-            self.by_length[n] = keys[order], ids[order]
+        self.lengths = {len(pieces[i]) for i in usable}
         self.none = len(pieces)
         self.initial = np.array([i for i in usable if pieces[i].startswith(b" ")])
+        keys = np.zeros(len(pieces), np.uint64)
+        for n in self.lengths:
+            ids = np.array([i for i in usable if len(pieces[i]) == n])
+            keys[ids] = self._fold(np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(len(ids), n))
+        self._place(keys, usable)
+
+    def _place(self, keys: np.ndarray, ids: list[int]) -> None:
+        """Two tables of keys; each key lies at its own slot of one of them, so a lookup takes two probes."""
+        self.shift = np.uint64(64 - max(4, int(len(ids) * 2.5).bit_length()))
+        size = 1 << int(64 - self.shift)
+        slots = [(keys >> self.shift).tolist(), (keys * self.SECOND >> self.shift).tolist()]
+        held = [[-1] * size, [-1] * size]
+        for i in ids:
+            side = 0
+            for _ in range(1000):
+                at = slots[side][i]
+                held[side][at], i = i, held[side][at]
+                if i < 0:
+                    break
+                side ^= 1
+            else:
+                raise RuntimeError("the pieces do not fit their tables")
+        self.tables = []
+        for row in map(np.array, held):
+            self.tables.append((np.where(row < 0, np.uint64(0), keys[row]), np.where(row < 0, self.none, row).astype(np.int32)))
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        (k0, i0), (k1, i1) = self.tables
+        first, second = key >> self.shift, key * self.SECOND >> self.shift
+        return np.where(k0[first] == key, i0[first], np.where(k1[second] == key, i1[second], np.int32(self.none)))
 
     @classmethod
     def _fold(cls, rows: np.ndarray) -> np.ndarray:
@@ -79,11 +105,9 @@ class Lattice:
                 with np.errstate(over="ignore"):
                     key = (key ^ rows[:, b - 1].astype(np.uint64) + np.uint64(1)) * self.MULTIPLY
                     key ^= key >> np.uint64(29)
-                if b - a in self.by_length:
-                    keys, ids = self.by_length[b - a]
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    found = np.where(keys[at] == key, ids[at], self.none)
-                    if (found != self.none).any():
+                if b - a in self.lengths:
+                    found = self._find(key)
+                    if found.min() < self.none:
                         out[a, b] = found
         return out
 
@@ -107,37 +131,46 @@ class Lattice:
                 part = group[i : i + step]
                 yield part, np.frombuffer(b"".join(b" " + words[j] for j in part), np.uint8).reshape(len(part), -1)
 
-    def _long(self, word: bytes) -> float:
-        """The marginal of a word of any length: only the last ``longest`` positions are held."""
-        row = np.frombuffer(b" " + word, np.uint8)[None, :]
-        last = [0.0]
-        for b in range(1, row.shape[1] + 1):
-            ways, start = [], max(0, b - self.longest)
-            for a in range(start, b):
-                if b - a in self.by_length:
-                    keys, ids = self.by_length[b - a]
-                    key = self._fold(row[:, a:b])
-                    at = min(int(np.searchsorted(keys, key)[0]), len(keys) - 1)
-                    if keys[at] == key[0]:
-                        ways.append(last[a - b] + self.logs[ids[at]])
-            last = [*last[-self.longest + 1 :], float(np.logaddexp.reduce(ways))]
-        return last[-1]
+    def _long(self, word: bytes, block: int = 4096) -> float:
+        """The marginal of a word of any length, its substrings looked up a block of starts at a time."""
+        row = np.frombuffer(b" " + word, np.uint8).astype(np.uint64) + np.uint64(1)
+        alpha = np.full(len(row) + 1, -np.inf)
+        alpha[0] = 0
+        for begin in range(0, len(row), block):
+            starts = np.arange(begin, min(begin + block, len(row)))
+            key, at, size = np.zeros(len(starts), np.uint64), [], []
+            for n in range(1, self.longest + 1):
+                starts = starts[starts + n <= len(row)]
+                with np.errstate(over="ignore"):
+                    key = (key[: len(starts)] ^ row[starts + n - 1]) * self.MULTIPLY
+                    key ^= key >> np.uint64(29)
+                hit = np.flatnonzero((found := self._find(key)) < self.none) if n in self.lengths and len(starts) else []
+                if len(hit):
+                    at.append(starts[hit])
+                    size.append((np.full(len(hit), n), self.logs[found[hit]]))
+            order = np.argsort(np.concatenate(at), kind="stable")
+            place, steps = np.concatenate(at)[order], np.concatenate([n for n, _ in size])[order]
+            logs = np.concatenate([v for _, v in size])[order]
+            for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
+                ends = place[part] + steps[part]
+                alpha[ends] = np.logaddexp(alpha[ends], alpha[place[part[0]]] + logs[part])
+        return float(alpha[-1])
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """The natural log-probability of each word."""
         out = np.zeros(len(words))
-        short = [i for i, w in enumerate(words) if len(w) <= 255]
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
         for part, rows in self._grouped([words[i] for i in short]):
             out[np.array(short)[part]] = self._forward(self._edges(rows), len(part), rows.shape[1])[-1]
         for i, w in enumerate(words):
-            if len(w) > 255:
+            if len(w) > SHORT:
                 out[i] = self._long(w)
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in ``counts`` of ``words``: forward and backward, longer words in parts of 255 bytes."""
+        """Expected uses of each piece in ``counts`` of ``words``: forward and backward, longer words in parts of SHORT bytes."""
         out = np.zeros(self.none + 1)
-        parts = [(w[i : i + 255], c) for w, c in zip(words, counts, strict=True) for i in range(0, max(1, len(w)), 255)]
+        parts = [(w[i : i + SHORT], c) for w, c in zip(words, counts, strict=True) for i in range(0, max(1, len(w)), SHORT)]
         counts = np.array([c for _, c in parts], dtype=float)
         for part, rows in self._grouped([w for w, _ in parts]):
             n, length = len(part), rows.shape[1]
@@ -183,16 +216,35 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long, total long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
+def frequent_words(words: DataFrame, count: str, limit: int) -> DataFrame:
+    """The words in the highest classes of ``count`` that hold at most ``limit`` together.
+
+    Classes are sixteenths of a doubling, so their sizes are a table of some
+    hundred rows, and no task sends more than its own words of those classes.
+    """
+    level = F.floor(F.log2(count) * 16)
+    sizes = words.where(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, held = None, 0
+    for r in sorted(sizes, reverse=True):
+        if (held := held + r.n) > limit:
+            break
+        least = r.level
+    return words.where(F.lit(False) if least is None else (F.col(count) > 0) & (level >= least))
+
+
 def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS) -> Lattice:
-    """A lattice whose scores are EM steps over all training words from the vocabulary's own scores.
+    """A lattice whose scores are EM steps from the vocabulary's own scores.
 
-    Each task adds up expected uses for its words; per piece they are summed
+    The first steps go over the HOT most frequent training words, which settles
+    the scores at a bounded cost; the last goes over all training words. Each task adds up expected uses for its words; per piece they are summed
     before they reach the driver, at most one row a piece. ``ends`` is the
     number of training texts. All probabilities, with the end's, sum to one.
     """
     start = 1 / (np.arange(len(pieces)) + PRIOR)
     lattice = Lattice(pieces, np.log(start / start.sum()), 0.0)
-    for _ in range(rounds):
+    known = words.where("c > 0").select("word", "c")
+    frequent = stored(frequent_words(known, "c", HOT).repartition("word"), "frequent") if rounds > 1 else known
+    for step in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], now: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             total = np.zeros(now.none)
@@ -201,7 +253,8 @@ def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
-        found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        rows = frequent if step + 1 < rounds else known
+        found = rows.mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.full(len(pieces) + 1, SMOOTH)
         for r in found:
             uses[r.piece] += r.uses
@@ -258,7 +311,7 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             yield pa.record_batch([*b.columns, pa.array(s)], names=["word", "c", "total", "s"])
 
     known = stored(counts.mapInArrow(weigh, "word binary, c long, total long, s double"), "scored")
-    top = known.orderBy(F.desc("total"), "word").limit(HOT).select("word", "c", "s").toPandas()
+    top = frequent_words(known, "total", HOT).select("word", "c", "s").toPandas()
     hot = docs.sparkSession.sparkContext.broadcast({bytes(w): (int(c > 0), float(np.log10(c + 1)), s) for w, c, s in top.itertuples(index=False)})
     below = float(np.log10(n + v + 1)) if n else 0.0
     end_base, end_known, end_score = float(np.log10(ends + 1)), int(ends > 0), float(np.log10((ends - DISCOUNT) / n)) if n else lattice.end / LOG10
