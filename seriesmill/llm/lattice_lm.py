@@ -18,7 +18,7 @@ from seriesmill.llm.common import stored, text_or_empty
 FLUSH = 150_000  # distinct words a task counts before it passes them on
 HOT = 1 << 17  # at most so many frequent words whose counts every task holds; all others meet theirs in a shuffle
 PRIOR = 100.0  # the vocabulary's own scores: a piece of rank r starts with a weight of 1 / (r + PRIOR)
-ROUNDS = 4  # EM steps; all but the last over the HOT most frequent training words
+ROUNDS = 4  # EM steps, each over all training words
 SMOOTH = 0.1  # added to the expected count of each piece and of the end
 DISCOUNT = 0.75  # taken from each training word's count for the pieces' segmentations
 SHORT = 64  # bytes of the longest words that are scored together
@@ -235,16 +235,15 @@ def frequent_words(words: DataFrame, count: str, limit: int) -> DataFrame:
 def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS) -> Lattice:
     """A lattice whose scores are EM steps from the vocabulary's own scores.
 
-    The first steps go over the HOT most frequent training words, which settles
-    the scores at a bounded cost; the last goes over all training words. Each task adds up expected uses for its words; per piece they are summed
-    before they reach the driver, at most one row a piece. ``ends`` is the
-    number of training texts. All probabilities, with the end's, sum to one.
+    Each step goes over all training words. Each task adds up expected uses for
+    its words; per piece they are summed before they reach the driver, at most
+    one row a piece. ``ends`` is the number of training texts. All
+    probabilities, with the end's, sum to one.
     """
     start = 1 / (np.arange(len(pieces)) + PRIOR)
     lattice = Lattice(pieces, np.log(start / start.sum()), 0.0)
     known = words.where("c > 0").select("word", "c")
-    frequent = stored(frequent_words(known, "c", HOT).repartition("word"), "frequent") if rounds > 1 else known
-    for step in range(rounds):
+    for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], now: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             total = np.zeros(now.none)
@@ -253,8 +252,7 @@ def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
-        rows = frequent if step + 1 < rounds else known
-        found = rows.mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        found = known.mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.full(len(pieces) + 1, SMOOTH)
         for r in found:
             uses[r.piece] += r.uses
