@@ -131,30 +131,54 @@ class Lattice:
                 part = group[i : i + step]
                 yield part, np.frombuffer(b"".join(b" " + words[j] for j in part), np.uint8).reshape(len(part), -1)
 
-    def _long(self, word: bytes, block: int = 4096) -> float:
-        """The marginal of a word of any length, its substrings looked up a block of starts at a time."""
-        row = np.frombuffer(b" " + word, np.uint8).astype(np.uint64) + np.uint64(1)
+    def _blocks(self, row: np.ndarray, begin: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(starts, ends, pieces) of a long word's substrings that start in one block, by start, and the rows of each start."""
+        starts = np.arange(begin, min(begin + block, len(row)))
+        key, at, to, ids = np.zeros(len(starts), np.uint64), [], [], []
+        for n in range(1, self.longest + 1):
+            starts = starts[starts + n <= len(row)]
+            with np.errstate(over="ignore"):
+                key = (key[: len(starts)] ^ row[starts + n - 1]) * self.MULTIPLY
+                key ^= key >> np.uint64(29)
+            hit = np.flatnonzero((found := self._find(key)) < self.none) if n in self.lengths and len(starts) else []
+            if len(hit):
+                at.append(starts[hit])
+                to.append(starts[hit] + n)
+                ids.append(found[hit])
+        order = np.argsort(np.concatenate(at), kind="stable")
+        place, ends, pieces = np.concatenate(at)[order], np.concatenate(to)[order], np.concatenate(ids)[order]
+        return place, ends, pieces, np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1)
+
+    def _long_forward(self, row: np.ndarray, block: int) -> np.ndarray:
         alpha = np.full(len(row) + 1, -np.inf)
         alpha[0] = 0
         for begin in range(0, len(row), block):
-            starts = np.arange(begin, min(begin + block, len(row)))
-            key, at, size = np.zeros(len(starts), np.uint64), [], []
-            for n in range(1, self.longest + 1):
-                starts = starts[starts + n <= len(row)]
-                with np.errstate(over="ignore"):
-                    key = (key[: len(starts)] ^ row[starts + n - 1]) * self.MULTIPLY
-                    key ^= key >> np.uint64(29)
-                hit = np.flatnonzero((found := self._find(key)) < self.none) if n in self.lengths and len(starts) else []
-                if len(hit):
-                    at.append(starts[hit])
-                    size.append((np.full(len(hit), n), self.logs[found[hit]]))
-            order = np.argsort(np.concatenate(at), kind="stable")
-            place, steps = np.concatenate(at)[order], np.concatenate([n for n, _ in size])[order]
-            logs = np.concatenate([v for _, v in size])[order]
-            for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
-                ends = place[part] + steps[part]
-                alpha[ends] = np.logaddexp(alpha[ends], alpha[place[part[0]]] + logs[part])
-        return float(alpha[-1])
+            place, ends, pieces, parts = self._blocks(row, begin, block)
+            logs = self.logs[pieces]
+            for part in parts:
+                alpha[ends[part]] = np.logaddexp(alpha[ends[part]], alpha[place[part[0]]] + logs[part])
+        return alpha
+
+    @staticmethod
+    def _row(word: bytes) -> np.ndarray:
+        return np.frombuffer(b" " + word, np.uint8).astype(np.uint64) + np.uint64(1)
+
+    def _long(self, word: bytes, block: int = 4096) -> float:
+        """The marginal of a word of any length, its substrings looked up a block of starts at a time."""
+        return float(self._long_forward(self._row(word), block)[-1])
+
+    def _long_uses(self, word: bytes, block: int = 4096) -> np.ndarray:
+        """Expected uses of each piece in a word of any length: forward, then backward a block of starts at a time."""
+        row, out = self._row(word), np.zeros(self.none + 1)
+        alpha, beta = self._long_forward(row, block), np.full(len(row) + 1, -np.inf)
+        beta[-1] = 0
+        for begin in reversed(range(0, len(row), block)):
+            place, ends, pieces, parts = self._blocks(row, begin, block)
+            logs = self.logs[pieces]
+            for part in reversed(parts):
+                beta[place[part[0]]] = np.logaddexp.reduce(logs[part] + beta[ends[part]])
+            out += np.bincount(pieces, weights=np.exp(alpha[place] + logs + beta[ends] - alpha[-1]), minlength=self.none + 1)
+        return out
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """The natural log-probability of each word."""
@@ -168,11 +192,14 @@ class Lattice:
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in ``counts`` of ``words``: forward and backward, longer words in parts of SHORT bytes."""
+        """Expected uses of each piece in ``counts`` of ``words``: forward and backward over whole words."""
         out = np.zeros(self.none + 1)
-        parts = [(w[i : i + SHORT], c) for w, c in zip(words, counts, strict=True) for i in range(0, max(1, len(w)), SHORT)]
-        counts = np.array([c for _, c in parts], dtype=float)
-        for part, rows in self._grouped([w for w, _ in parts]):
+        for w, c in zip(words, counts, strict=True):
+            if len(w) > SHORT:
+                out += c * self._long_uses(w)
+        short = [(w, c) for w, c in zip(words, counts, strict=True) if len(w) <= SHORT]
+        counts = np.array([c for _, c in short], dtype=float)
+        for part, rows in self._grouped([w for w, _ in short]):
             n, length = len(part), rows.shape[1]
             edges = self._edges(rows)
             alpha = self._forward(edges, n, length)

@@ -19,3 +19,14 @@ def test_every_step_sees_all_words(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "HOT", 2)
     found = lattice_lm.train(words, PIECES, 7)
     assert found.logs == pytest.approx(want.logs) and found.end == pytest.approx(want.end)
+
+
+def test_long_words_are_trained_whole(monkeypatch):
+    p = np.random.default_rng(0).dirichlet(np.ones(len(PIECES) + 1))
+    lattice = lattice_lm.Lattice(PIECES, np.log(p[:-1]), float(np.log(p[-1])))
+    words, counts = [b"the" * 60, b"\xe6\x97\xa5" * 50, b"the", b"x" * 65, b"h" * 64], np.array([2, 1, 5, 3, 1])
+    found = lattice.expected(words, counts)
+    assert lattice._long_uses(words[0], 7) == pytest.approx(lattice._long_uses(words[0]))
+    monkeypatch.setattr(lattice_lm, "SHORT", 1000)
+    assert found == pytest.approx(lattice.expected(words, counts), abs=1e-9)
+    assert found[:256][ord(" ")] + found[[i for i, x in enumerate(PIECES) if len(x) > 1 and x.startswith(b" ")]].sum() == pytest.approx(counts.sum())
