@@ -423,6 +423,6 @@ def knn_embeddings(spark, sf_dir):
     means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("c"))
     queries = means.select(F.col("label").alias("query"), F.transform("c", lambda s: s.x).alias("q"))
     d = longhorizon.squared_distance(F.col("q"), F.col("e"))
-    met = rows.crossJoin(F.broadcast(queries.limit(1000))).select("query", "vec_id", d.alias("d"))
+    met = rows.crossJoin(queries).select("query", "vec_id", d.alias("d"))
     near = met.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("d", "vec_id"))).where("rank <= 3")
     return shown(near.select(F.col("query").cast("long").alias("query"), "rank", "vec_id", F.sqrt("d").alias("distance")))
