@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from seriesmill.llm.common import stored, text_or_empty
 
 FLUSH = 150_000  # distinct words a task counts before it passes them on
-HOT = 1 << 17  # at most so many frequent words whose counts every task holds; all others meet theirs in a shuffle
+HOT = 1 << 17  # at most so many frequent words whose scores every task holds; all others meet theirs in a shuffle
 PRIOR = 100.0  # the vocabulary's own scores: a piece of rank r starts with a weight of 1 / (r + PRIOR)
 ROUNDS = 4  # EM steps, each over all training words
 SMOOTH = 0.1  # added to the expected count of each piece and of the end
-DISCOUNT = 0.75  # taken from each training word's count for the pieces' segmentations
-SHORT = 64  # bytes of the longest words that are scored together
+DISCOUNT = 0.75  # taken from each training word's count for the lattice's share of the mixture
+LONG = 128  # words above so many bytes are scored alone, in the same way
+GROUP = 1 << 19  # bytes of words scored together, about
+WORDS = 1 << 16  # words of a task that are scored together, at most
 LOG10 = np.log(10.0)
 
 
@@ -37,114 +39,135 @@ def read_pieces(path: str) -> list[bytes]:
     return [base64.b64decode(a) for a, _ in sorted(rows, key=lambda r: int(r[1]))]
 
 
+class Trie:
+    """The pieces' bytes as a double array: the child of node ``n`` by byte ``c`` is ``base[n] + c`` if ``owner`` there is ``n``.
+
+    ``piece`` has the number of the piece that ends at a node, -1 for none. No
+    piece that goes on after a blank is held: a blank begins each word.
+    """
+
+    def __init__(self, pieces: list[bytes]):
+        below: list[dict[int, int]] = [{}]
+        ends = {}
+        for i, p in enumerate(pieces):
+            if not p or b" " in p[1:]:
+                continue
+            at = 0
+            for c in p:
+                if (to := below[at].get(c)) is None:
+                    to = below[at][c] = len(below)
+                    below.append({})
+                at = to
+            ends[at] = i
+        self.depth = max((len(pieces[i]) for i in ends.values()), default=0)
+        self._place(below, ends)
+
+    def _place(self, below: list[dict[int, int]], ends: dict[int, int]) -> None:
+        """Nodes with most children first, each at the next place where all of its children find free slots; those of one child fill the gaps."""
+        size = 4 * len(below) + 2048
+        used, base, slot = np.zeros(size, bool), np.zeros(len(below), np.int64), np.zeros(len(below), np.int64)
+        used[:256], at, children = True, 256, 256
+        for node in sorted((n for n in range(len(below)) if len(below[n]) > 1), key=lambda n: (-len(below[n]), n)):
+            if len(below[node]) < children:
+                at, children = 256, len(below[node])  # fewer children may fit where more did not
+            letters = np.array(sorted(below[node]))
+            while not (fits := ~used[at + np.arange(256)[:, None] + letters].any(axis=1)).any():
+                at += 256
+            at += int(np.argmax(fits))
+            used[at + letters], base[node] = True, at
+        alone = np.array([n for n in range(len(below)) if len(below[n]) == 1], dtype=np.int64)
+        base[alone] = np.flatnonzero(~used)[: len(alone)] - [next(iter(below[n])) for n in alone.tolist()]
+        owner = np.zeros(len(below), np.int64)
+        for node, letters in enumerate(below):
+            for c, child in letters.items():
+                slot[child], owner[child] = base[node] + c, node
+        top = int(max(slot.max(), base.max())) + 257
+        self.base, self.owner, self.piece = np.zeros(top, np.int32), np.full(top, -1, np.int32), np.full(top, -1, np.int32)
+        self.base[slot] = base
+        self.owner[slot[1:]] = slot[owner[1:]]
+        for node, i in ends.items():
+            self.piece[slot[node]] = i
+
+
 class Lattice:
     """Unigram log-probabilities of byte pieces, with marginals over all segmentations.
 
-    Words of one length are scored together: the ids of all substrings are
-    looked up by a 64-bit hash, then the forward recursion in log space adds up
-    each position's segmentations. A blank begins each word, so pieces with a
-    leading blank are word starts; no piece reaches over a blank, and a text's
-    marginal is the product of its words' and the end's.
+    A blank begins each word, so pieces with a leading blank are word starts; no
+    piece reaches over a blank, and a text's marginal is the product of its
+    words' and the end's. Many words go through the recursion together, longest
+    first, so that those that reach a position are a prefix of them: the trie
+    finds the pieces that start at a position, then the forward recursion in log
+    space adds up each position's segmentations. Words above LONG bytes go
+    through the same recursion alone, a block of positions at a time.
     """
 
-    MULTIPLY, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-    def __init__(self, pieces: list[bytes], logs: np.ndarray, end: float):
-        usable = [i for i, p in enumerate(pieces) if not p[1:].count(b" ")]
-        self.logs, self.end = np.append(logs, -np.inf), end
-        self.longest = max(len(pieces[i]) for i in usable)
-        self.lengths = {len(pieces[i]) for i in usable}
-        self.none = len(pieces)
-        self.initial = np.array([i for i in usable if pieces[i].startswith(b" ")])
-        keys = np.zeros(len(pieces), np.uint64)
-        for n in self.lengths:
-            ids = np.array([i for i in usable if len(pieces[i]) == n])
-            keys[ids] = self._fold(np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(len(ids), n))
-        self._place(keys, usable)
-
-    def _place(self, keys: np.ndarray, ids: list[int]) -> None:
-        """Two tables of keys; each key lies at its own slot of one of them, so a lookup takes two probes."""
-        self.shift = np.uint64(64 - max(4, int(len(ids) * 2.5).bit_length()))
-        size = 1 << int(64 - self.shift)
-        slots = [(keys >> self.shift).tolist(), (keys * self.SECOND >> self.shift).tolist()]
-        held = [[-1] * size, [-1] * size]
-        for i in ids:
-            side = 0
-            for _ in range(1000):
-                at = slots[side][i]
-                held[side][at], i = i, held[side][at]
-                if i < 0:
+    def __init__(self, pieces: list[bytes], logs: np.ndarray, end: float, trie: Trie | None = None):
+        self.trie = Trie(pieces) if trie is None else trie
+        self.logs, self.end, self.none, self.longest = np.asarray(logs), end, len(pieces), self.trie.depth
+
+    def _together(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """(word numbers, bytes at each position, words that reach each position), a bounded number of bytes at a time."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable")
+        part = np.cumsum(lengths[order] + 1) // GROUP
+        for group in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []:
+            n = lengths[group] + 1
+            reach = np.searchsorted(-n, -np.arange(n[0] + 1), side="right")  # words of that many bytes or more
+            flat = np.frombuffer(b"".join(b" " + words[i] for i in group.tolist()), np.uint8)
+            starts = np.cumsum(n) - n
+            yield group, [flat[starts[: reach[t + 1]] + t] for t in range(n[0])], reach
+
+    def _edges(self, letters: list[np.ndarray], reach: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """By start: (end, words, pieces) of the pieces found there."""
+        base, owner, piece, out = self.trie.base, self.trie.owner, self.trie.piece, []
+        for t in range(len(letters)):
+            found, words, node = [], np.arange(len(letters[t])), np.zeros(len(letters[t]), np.int32)
+            for e in range(t, min(t + self.longest, len(letters))):
+                if words[-1] >= len(letters[e]):
+                    k = int(np.searchsorted(words, len(letters[e])))
+                    words, node = words[:k], node[:k]
+                to = base[node] + letters[e][words]
+                hit = np.flatnonzero(owner[to] == node)
+                if not len(hit):
                     break
-                side ^= 1
-            else:
-                raise RuntimeError("the pieces do not fit their tables")
-        self.tables = []
-        for row in map(np.array, held):
-            self.tables.append((np.where(row < 0, np.uint64(0), keys[row]), np.where(row < 0, self.none, row).astype(np.int32)))
-
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        (k0, i0), (k1, i1) = self.tables
-        first, second = key >> self.shift, key * self.SECOND >> self.shift
-        return np.where(k0[first] == key, i0[first], np.where(k1[second] == key, i1[second], np.int32(self.none)))
-
-    @classmethod
-    def _fold(cls, rows: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(rows), np.uint64)
-        with np.errstate(over="ignore"):
-            for column in rows.T:
-                key = (key ^ column.astype(np.uint64) + np.uint64(1)) * cls.MULTIPLY
-                key ^= key >> np.uint64(29)
-        return key
-
-    def _edges(self, rows: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """The piece of each substring [a, b) of equally long words, ``none`` where there is none."""
-        out, length = {}, rows.shape[1]
-        for a in range(length):
-            key = np.zeros(len(rows), np.uint64)
-            for b in range(a + 1, min(length, a + self.longest) + 1):
-                with np.errstate(over="ignore"):
-                    key = (key ^ rows[:, b - 1].astype(np.uint64) + np.uint64(1)) * self.MULTIPLY
-                    key ^= key >> np.uint64(29)
-                if b - a in self.lengths:
-                    found = self._find(key)
-                    if found.min() < self.none:
-                        out[a, b] = found
+                words, node = words[hit], to[hit]
+                ids = piece[node]
+                whole = np.flatnonzero(ids >= 0)
+                if len(whole):
+                    found.append((e + 1, words, ids) if len(whole) == len(ids) else (e + 1, words[whole], ids[whole]))
+            out.append(found)
         return out
 
-    def _forward(self, edges: dict, n: int, length: int) -> np.ndarray:
-        alpha = np.full((length + 1, n), -np.inf)
-        alpha[0] = 0
-        for b in range(1, length + 1):
-            ways = [alpha[a] + self.logs[edges[a, b]] for a in range(max(0, b - self.longest), b) if (a, b) in edges]
-            top = np.max(ways, axis=0)
-            alpha[b] = top + np.log(np.sum(np.exp(np.array(ways) - top), axis=0))
+    def _forward(self, edges: list, reach: np.ndarray) -> list[np.ndarray]:
+        """The log-probability of each position by the words that reach it."""
+        alpha = [np.zeros(reach[0])]
+        into: list[list] = [[] for _ in range(len(edges) + 1)]
+        for t, found in enumerate(edges):
+            if t:
+                alpha.append(_log_sum(into[t], reach[t])[0])
+                into[t] = []
+            for e, words, ids in found:
+                into[e].append((words, alpha[t][words] + self.logs[ids]))
+        alpha.append(_log_sum(into[-1], reach[len(edges)])[0])
         return alpha
 
-    def _grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, byte rows) of words of one length, a bounded number of bytes at a time."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable")
-        cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-        for group in np.split(order, cuts) if len(order) else []:
-            step = max(1, (1 << 17) // int(lengths[group[0]] + 1))
-            for i in range(0, len(group), step):
-                part = group[i : i + step]
-                yield part, np.frombuffer(b"".join(b" " + words[j] for j in part), np.uint8).reshape(len(part), -1)
-
     def _blocks(self, row: np.ndarray, begin: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(starts, ends, pieces) of a long word's substrings that start in one block, by start, and the rows of each start."""
+        """(starts, ends, pieces) of a long word's pieces that start in one block, by start, and the rows of each start."""
         starts = np.arange(begin, min(begin + block, len(row)))
-        key, at, to, ids = np.zeros(len(starts), np.uint64), [], [], []
+        node, at, to, ids = np.zeros(len(starts), np.int32), [], [], []
         for n in range(1, self.longest + 1):
-            starts = starts[starts + n <= len(row)]
-            with np.errstate(over="ignore"):
-                key = (key[: len(starts)] ^ row[starts + n - 1]) * self.MULTIPLY
-                key ^= key >> np.uint64(29)
-            hit = np.flatnonzero((found := self._find(key)) < self.none) if n in self.lengths and len(starts) else []
-            if len(hit):
-                at.append(starts[hit])
-                to.append(starts[hit] + n)
-                ids.append(found[hit])
+            k = int(np.searchsorted(starts, len(row) - n, side="right"))
+            starts, node = starts[:k], node[:k]
+            child = self.trie.base[node] + row[starts + n - 1]
+            hit = np.flatnonzero(self.trie.owner[child] == node)
+            if not len(hit):
+                break
+            starts, node = starts[hit], child[hit]
+            found = self.trie.piece[node]
+            whole = np.flatnonzero(found >= 0)
+            at.append(starts[whole])
+            to.append(starts[whole] + n)
+            ids.append(found[whole])
         order = np.argsort(np.concatenate(at), kind="stable")
         place, ends, pieces = np.concatenate(at)[order], np.concatenate(to)[order], np.concatenate(ids)[order]
         return place, ends, pieces, np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1)
@@ -161,15 +184,15 @@ class Lattice:
 
     @staticmethod
     def _row(word: bytes) -> np.ndarray:
-        return np.frombuffer(b" " + word, np.uint8).astype(np.uint64) + np.uint64(1)
+        return np.frombuffer(b" " + word, np.uint8)
 
     def _long(self, word: bytes, block: int = 4096) -> float:
-        """The marginal of a word of any length, its substrings looked up a block of starts at a time."""
+        """The marginal of a word of any length."""
         return float(self._long_forward(self._row(word), block)[-1])
 
     def _long_uses(self, word: bytes, block: int = 4096) -> np.ndarray:
         """Expected uses of each piece in a word of any length: forward, then backward a block of starts at a time."""
-        row, out = self._row(word), np.zeros(self.none + 1)
+        row, out = self._row(word), np.zeros(self.none)
         alpha, beta = self._long_forward(row, block), np.full(len(row) + 1, -np.inf)
         beta[-1] = 0
         for begin in reversed(range(0, len(row), block)):
@@ -177,44 +200,62 @@ class Lattice:
             logs = self.logs[pieces]
             for part in reversed(parts):
                 beta[place[part[0]]] = np.logaddexp.reduce(logs[part] + beta[ends[part]])
-            out += np.bincount(pieces, weights=np.exp(alpha[place] + logs + beta[ends] - alpha[-1]), minlength=self.none + 1)
+            out += np.bincount(pieces, weights=np.exp(alpha[place] + logs + beta[ends] - alpha[-1]), minlength=self.none)
         return out
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """The natural log-probability of each word."""
         out = np.zeros(len(words))
-        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
-        for part, rows in self._grouped([words[i] for i in short]):
-            out[np.array(short)[part]] = self._forward(self._edges(rows), len(part), rows.shape[1])[-1]
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], dtype=np.int64)
+        for group, letters, reach in self._together([words[i] for i in short.tolist()]):
+            alpha = self._forward(self._edges(letters, reach), reach)
+            for t in range(1, len(alpha)):  # words that end there
+                to = reach[t + 1] if t + 1 < len(alpha) else 0
+                out[short[group[to : reach[t]]]] = alpha[t][to:]
         for i, w in enumerate(words):
-            if len(w) > SHORT:
+            if len(w) > LONG:
                 out[i] = self._long(w)
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in ``counts`` of ``words``: forward and backward over whole words."""
-        out = np.zeros(self.none + 1)
-        for w, c in zip(words, counts, strict=True):
-            if len(w) > SHORT:
-                out += c * self._long_uses(w)
-        short = [(w, c) for w, c in zip(words, counts, strict=True) if len(w) <= SHORT]
-        counts = np.array([c for _, c in short], dtype=float)
-        for part, rows in self._grouped([w for w, _ in short]):
-            n, length = len(part), rows.shape[1]
-            edges = self._edges(rows)
-            alpha = self._forward(edges, n, length)
-            beta = np.full((length + 1, n), -np.inf)
-            beta[length] = 0
-            for a in range(length - 1, -1, -1):
-                ways = np.array([beta[b] + self.logs[edges[a, b]] for b in range(a + 1, min(length, a + self.longest) + 1) if (a, b) in edges])
-                top = np.max(ways, axis=0)
-                with np.errstate(invalid="ignore"):
-                    beta[a] = np.where(np.isinf(top), top, top + np.log(np.sum(np.exp(ways - np.where(np.isinf(top), 0, top)), axis=0)))
-            for (a, b), ids in edges.items():
-                held = ids != self.none
-                use = counts[part] * np.exp(alpha[a] + self.logs[ids] + beta[b] - alpha[length])
-                out += np.bincount(ids[held], weights=use[held], minlength=self.none + 1)
-        return out[:-1]
+        out = np.zeros(self.none)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if len(short) < len(words):
+            for w, c in zip(words, counts, strict=True):
+                if len(w) > LONG:
+                    out += c * self._long_uses(w)
+        times = np.asarray(counts, dtype=float)[short]
+        for group, letters, reach in self._together([words[i] for i in short]):
+            edges = self._edges(letters, reach)
+            alpha = self._forward(edges, reach)
+            total = np.concatenate([alpha[t][(reach[t + 1] if t + 1 < len(alpha) else 0) :] for t in range(len(alpha) - 1, 0, -1)])
+            beta: list[np.ndarray] = [np.zeros(0)] * len(edges) + [np.zeros(reach[len(edges)])]
+            ids, uses, weight = [], [], times[group]
+            for t in range(len(edges) - 1, -1, -1):
+                rows = [(words, beta[e][words] + self.logs[found]) for e, words, found in edges[t]]
+                low, parts, top = _log_sum(rows, len(letters[t]))
+                beta[t] = np.concatenate((low, np.zeros(reach[t] - len(low))))  # words that end at t have nothing left
+                share = weight[: len(low)] * np.exp(alpha[t][: len(low)] + top - total[: len(low)])
+                for (_, words, found), part in zip(edges[t], parts, strict=True):
+                    ids.append(found)
+                    uses.append(part * share[words])
+            out += np.bincount(np.concatenate(ids), weights=np.concatenate(uses), minlength=self.none)
+        return out
+
+
+def _log_sum(rows: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """log(sum(exp)) by word of ``rows`` (words, values), each word once a row; the exps, and the largest values they are taken from."""
+    top = np.full(n, -np.inf)
+    for words, values in rows:
+        top[words] = np.maximum(top[words], values)
+    total, parts = np.zeros(n), []
+    for words, values in rows:
+        part = np.exp(values - top[words])
+        total[words] += part
+        parts.append(part)
+    with np.errstate(divide="ignore"):
+        return top + np.log(total), parts, top
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -259,6 +300,19 @@ def frequent_words(words: DataFrame, count: str, limit: int) -> DataFrame:
     return words.where(F.lit(False) if least is None else (F.col(count) > 0) & (level >= least))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches of a task, put together to at least ``rows`` rows but for the last."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS) -> Lattice:
     """A lattice whose scores are EM steps from the vocabulary's own scores.
 
@@ -274,8 +328,8 @@ def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS
 
         def run(batches: Iterator[pa.RecordBatch], now: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             total = np.zeros(now.none)
-            for b in batches:
-                total += now.expected(b.column(0).to_pylist(), b.column(1).to_numpy())
+            for t in _gathered(batches, WORDS):
+                total += now.expected(t.column(0).to_pylist(), t.column(1).to_numpy())
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
@@ -285,41 +339,46 @@ def train(words: DataFrame, pieces: list[bytes], ends: int, rounds: int = ROUNDS
             uses[r.piece] += r.uses
         uses[-1] += ends
         logs = np.log(uses / uses.sum())
-        lattice = Lattice(pieces, logs[:-1], float(logs[-1]))
+        lattice = Lattice(pieces, logs[:-1], float(logs[-1]), lattice.trie)
     return lattice
 
 
-def word_logs(lattice: Lattice, words: list[bytes], counts: np.ndarray, n: int, types: int) -> np.ndarray:
-    """Natural log-probabilities of words as tokens.
+def initial_share(lattice: Lattice, pieces: list[bytes]) -> float:
+    """The probability of the pieces that begin a word."""
+    return float(np.exp(lattice.logs[[i for i, p in enumerate(pieces) if p.startswith(b" ")]]).sum())
+
+
+def mixed_logs(spelled: np.ndarray, counts: np.ndarray, n: int, types: int, end: float, first: float) -> np.ndarray:
+    """Natural log-probabilities of words as tokens of a mixture of whole words and their spellings.
 
-    A training word is a piece of its own besides the vocabulary's, weighted by
-    its discounted share of the ``n`` training tokens; what the discount takes
-    from the ``types`` distinct tokens weights the segmentations into vocabulary
-    pieces, scaled to sum to one over words. Without training tokens the
-    vocabulary's pieces stand alone.
+    A training word has its discounted share of the ``n`` training tokens; what
+    the discount takes from the ``types`` distinct tokens weights the lattice's
+    probabilities ``spelled``, scaled to sum to one over words by the share
+    ``first`` of pieces that begin a word. Without training tokens the lattice
+    stands alone.
     """
-    spelled = lattice.marginals(words)
     if not n:
         return spelled
-    first = np.exp(lattice.logs[:-1][lattice.initial]).sum()
-    share = np.log(DISCOUNT * types / n) + np.log1p(np.exp(lattice.end) / first)
+    share = np.log(DISCOUNT * types / n) + np.log1p(np.exp(end) / first)
     with np.errstate(divide="ignore"):
         return np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 0) / n), spelled + share)
 
 
 def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of every row.
 
     Tokens are the runs of other than ASCII white space, ASCII letters in lower
     case, and an end. Training texts are those whose id's crc32 does not leave 2
-    by 7. ``base_score`` is the add-one word model, ``score`` the lattice's, with
-    training words among its pieces: both log10 probabilities of the whole text;
-    the lattice spells unknown words out, which the word model leaves open. Words are counted in a first pass
-    over all texts; in a second each task scores the HOT most frequent words
-    from counts it holds, and passes on a text's other words, which meet their
-    counts in a shuffle keyed by word. Null and empty texts are an end alone. A
-    null id trains. Repeated rows count each time and keep their rows; an empty
-    table gives an empty table; other columns are not read.
+    by 7. All scores are log10 probabilities of the whole text: ``base_score`` by
+    the add-one word model, ``score`` by the lattice, the marginal over all
+    segmentations into vocabulary pieces, and ``mixed_score`` by a mixture of
+    training words as wholes and the lattice's spelling. The lattice spells
+    unknown words out, which the word model leaves open. Words are counted in a
+    first pass over all texts; in a second each task scores the HOT most
+    frequent words from values it holds, and passes on a text's other words,
+    which meet theirs in a shuffle keyed by word. Null and empty texts are an
+    end alone. A null id trains. Repeated rows count each time and keep their
+    rows; an empty table gives an empty table; other columns are not read.
     """
     pieces = read_pieces(vocabulary)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("body"))
@@ -329,18 +388,20 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
     lattice = train(counts, pieces, ends)
+    first_share = initial_share(lattice, pieces)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = word_logs(lattice, b.column(0).to_pylist(), b.column(1).to_numpy(), n, v) / LOG10
-            yield pa.record_batch([*b.columns, pa.array(s)], names=["word", "c", "total", "s"])
-
-    known = stored(counts.mapInArrow(weigh, "word binary, c long, total long, s double"), "scored")
-    top = frequent_words(known, "total", HOT).select("word", "c", "s").toPandas()
-    hot = docs.sparkSession.sparkContext.broadcast({bytes(w): (int(c > 0), float(np.log10(c + 1)), s) for w, c, s in top.itertuples(index=False)})
+        for t in _gathered(batches, WORDS):
+            spelled = lattice.marginals(t.column(0).to_pylist())
+            mixed = mixed_logs(spelled, t.column(1).to_numpy(), n, v, lattice.end, first_share)
+            yield from t.append_column("s", pa.array(spelled / LOG10)).append_column("x", pa.array(mixed / LOG10)).to_batches()
+
+    known = stored(counts.mapInArrow(weigh, "word binary, c long, total long, s double, x double"), "scored")
+    top = frequent_words(known, "total", HOT).select("word", "c", "s", "x").toPandas()
+    hot = docs.sparkSession.sparkContext.broadcast({bytes(w): (int(c > 0), float(np.log10(c + 1)), s, x) for w, c, s, x in top.itertuples(index=False)})
     below = float(np.log10(n + v + 1)) if n else 0.0
-    end_base, end_known, end_score = float(np.log10(ends + 1)), int(ends > 0), float(np.log10((ends - DISCOUNT) / n)) if n else lattice.end / LOG10
-    fields = "row long, doc_id long, held_out boolean, n long, known long, base double, score double, rare array<binary>, times array<int>"
+    end = int(ends > 0), float(np.log10(ends + 1)), lattice.end / LOG10, float(np.log10((ends - DISCOUNT) / n)) if ends else lattice.end / LOG10
+    fields = "row long, doc_id long, held_out boolean, n long, known long, base double, score double, mixed double, rare array<binary>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = hot.value, TaskContext.get().partitionId() << 33
@@ -348,26 +409,28 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             out = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = Counter(body.as_py().lower().split())
-                rare, times, n, k, base, s = [], [], 0, 0, 0.0, 0.0
+                rare, times, (k, base, s, x), n = [], [], end, 1
                 for w, m in words.items():
                     n += m
-                    if (x := held.get(w)) is None:
+                    if (known := held.get(w)) is None:
                         rare.append(w)
                         times.append(m)
                     else:
-                        k += m * x[0]
-                        base += m * x[1]
-                        s += m * x[2]
-                out.append((number, doc, held_out(doc), n + 1, k + end_known, base + end_base, s + end_score, rare, times))
+                        k += m * known[0]
+                        base += m * known[1]
+                        s += m * known[2]
+                        x += m * known[3]
+                out.append((number, doc, held_out(doc), n, k, base, s, x, rare, times))
                 number += 1
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             names = [f.split()[0] for f in fields.split(", ")]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 9, types, strict=True)], names=names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 10, types, strict=True)], names=names)
 
     first = stored(rows.mapInArrow(run, fields), "first")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("m"))
-    met = rare.join(known.select("word", "c", "s"), "word").select("row", (F.col("m") * (F.col("c") > 0).cast("int")).alias("k"), (F.col("m") * F.log10(F.col("c") + 1)).alias("b"), (F.col("m") * F.col("s")).alias("t"))
-    more = met.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("t").alias("t"))
+    met = rare.join(known.select("word", "c", "s", "x"), "word")
+    met = met.select("row", (F.col("m") * (F.col("c") > 0).cast("int")).alias("k"), (F.col("m") * F.log10(F.col("c") + 1)).alias("b"), (F.col("m") * F.col("s")).alias("t"), (F.col("m") * F.col("x")).alias("u"))
+    more = met.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("u").alias("u"))
     zero = lambda name: F.coalesce(name, F.lit(0))
     return first.drop("rare", "times").join(more, "row", "left").select(
         "doc_id",
@@ -377,4 +440,5 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b") - F.col("n") * below).alias("base_score"),
         (F.col("score") + zero("t")).alias("score"),
+        (F.col("mixed") + zero("u")).alias("mixed_score"),
     )
