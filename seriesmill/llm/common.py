@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -16,9 +17,15 @@ HOT_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a master on this machine alone gets a temporary one; a
+    cluster is an error, for there no local folder is shared.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -69,29 +76,47 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (src, dst long): one row (id, component) per node, component the smallest id.
 
     Each round maps every node to the smallest id among itself and its
-    neighbours and contracts the links by that map, so that only what is still
-    apart travels on; the maps compose to the result. Rounds are written to the
-    shared folder. Only minima are grouped, so a node of any degree costs one
-    row a task. Null ends, loops and repeated links change nothing; no links
-    give an empty table.
+    neighbours, follows those maps to their roots, a step four times as far as
+    the one before, and contracts the links by the roots. Of the nodes left at
+    least half go each time, for a root with a link has a neighbour that is
+    none; a chain in order takes one round. Steps are written to the shared
+    folder. Only minima are grouped, so a node of any degree costs one row a
+    task. Null ends, loops and repeated links change nothing; no links give an
+    empty table.
     """
     links = links.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     both = stored(links.select("src", "dst").union(links.select("dst", "src")).distinct(), "links")
     labels = None
     while True:
         low = both.groupBy("src").agg(F.min("dst").alias("low"))
-        parents = stored(low.select(F.col("src").alias("id"), F.least("src", "low").alias("component")), "parents")
+        parents = _roots(stored(low.select(F.col("src").alias("id"), F.least("src", "low").alias("component")), "parents"))
         if labels is None:
             labels = parents
         else:
-            near = parents.select(F.col("id").alias("component"), F.col("component").alias("next"))
-            labels = stored(labels.join(near, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "labels")
+            labels = stored(_followed(labels, parents), "labels")
         left, right = parents.toDF("src", "a"), parents.toDF("dst", "b")
         both = stored(both.join(left, "src").join(right, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
         if both.isEmpty():
             return labels
 
 
+def _followed(labels: DataFrame, parents: DataFrame) -> DataFrame:
+    """``labels`` with each component replaced by its own in ``parents``; roots need no row there."""
+    inner = parents.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return labels.join(inner, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """``parents`` (id, component <= id) with each component followed to its root, by composing the map with itself."""
+    while True:
+        inner = parents.where("id <> component")
+        deep = inner.join(inner.select(F.col("id").alias("component")), "component", "left_semi")
+        if deep.isEmpty():
+            return parents
+        parents = stored(_followed(parents, parents), "parents")
+        parents = stored(_followed(parents, parents), "parents")
+
+
 def with_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` left-joined with ``groups`` (one row a key, ``size`` its number of rows) on ``key``.
 

@@ -151,17 +151,19 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, doc_id:
     Words are split at ASCII white space and ASCII letters lower-cased;
     ``width`` words make a shingle, repeats count, a shorter text is one
     shingle. Null, empty and blank texts have fingerprint zero and are linked
-    like any other. Equal fingerprints are one node, the smallest doc_id stands
-    for it; only nodes enter the block join and copies are never paired. A null
-    doc_id gets its component like any other row, null if no other id is in it
-    by equal fingerprint. Repeated rows stay. An empty table gives an empty
-    table; other columns are not read.
+    like any other. Each distinct fingerprint is one node, whatever ids it has,
+    so copies are never paired and rows without an id link others like any; a
+    null doc_id gets its component like any other row, null if no row in it has
+    an id. Repeated rows stay. An empty table gives an empty table; other
+    columns are not read.
     """
     prints = stored(fingerprints(docs, width, doc_id, text), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    labels = components(stored(links(nodes.where("rep IS NOT NULL"), distance), "near"))
-    nodes = nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    labels = components(stored(links(nodes.select("fp", F.col("fp").alias("rep")), distance), "near")).toDF("fp", "node")
+    named = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("node", "fp").alias("node"))
+    found = named.groupBy("node").agg(F.min("least").alias("component_id"))
+    ids = named.select("fp", "node").join(found, "node").select("fp", "component_id")
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: F.Column) -> F.Column:
