@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ def normalize_and_proportion(values: Column) -> Column:
     return let(min_max(values), proportion)
 
 
+def reach(alpha: float) -> int:
+    """How many values an exponentially weighted mean has to see: weights of older ones are below 1e-20 of the newest."""
+    return 1 if alpha >= 1 else math.ceil(math.log(1e-20) / math.log(1 - alpha))
+
+
 def ewm(values: Column, alpha: float) -> Column:
     """The exponentially weighted mean of an array up to its end, weights summing to one over what is there."""
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))

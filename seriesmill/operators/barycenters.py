@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,16 +15,20 @@ def euclidean(df: DataFrame, models: list[str]) -> DataFrame:
     return df.select("unique_id", "ds", (total / len(models)).alias("barycenter"))
 
 
+def _diagonals(n: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The cells (i, j) from (1, 1) to (n, m) whose sum is the same, in rising order; each needs only those before it."""
+    for k in range(2, n + m + 1):
+        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
+        yield i, k - i
+
+
 def path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The cheapest monotone alignment of two series by squared differences."""
+    """The cheapest monotone alignment of two series by squared differences; a diagonal of the table is filled at once."""
     n, m = len(a), len(b)
     cost = np.full((n + 1, m + 1), np.inf)
     cost[0, 0] = 0
-    gap = (a[:, None] - b[None, :]) ** 2
-    for i in range(1, n + 1):
-        above, row = cost[i - 1], cost[i]
-        for j in range(1, m + 1):
-            row[j] = gap[i - 1, j - 1] + min(above[j - 1], above[j], row[j - 1])
+    for i, j in _diagonals(n, m):
+        cost[i, j] = (a[i - 1] - b[j - 1]) ** 2 + np.minimum(np.minimum(cost[i - 1, j - 1], cost[i - 1, j]), cost[i, j - 1])
     out, i, j = [], n, m
     while i and j:
         out.append((i - 1, j - 1))
@@ -43,10 +49,10 @@ def dtw(series: list[np.ndarray], weights: np.ndarray | None = None, max_iter: i
     for _ in range(max_iter):
         top, below, cost = np.zeros(len(mean)), np.zeros(len(mean)), 0.0
         for s, w in zip(series, weights, strict=True):
-            for i, j in path(mean, s):
-                top[i] += w * s[j]
-                below[i] += w
-                cost += w * (mean[i] - s[j]) ** 2
+            i, j = np.array(path(mean, s)).T
+            top += w * np.bincount(i, weights=s[j], minlength=len(mean))
+            below += w * np.bincount(i, minlength=len(mean))
+            cost += w * ((mean[i] - s[j]) ** 2).sum()
         mean = np.where(below > 0, top / np.where(below > 0, below, 1), mean)
         if abs(before - cost) < tol:
             break
@@ -61,9 +67,9 @@ def dtw_subgradient(series: list[np.ndarray], weights: np.ndarray | None = None,
     for _ in range(max_iter):
         slope, cost = np.zeros(len(mean)), 0.0
         for s, w in zip(series, weights, strict=True):
-            for i, j in path(mean, s):
-                slope[i] += 2 * w * (mean[i] - s[j])
-                cost += w * (mean[i] - s[j]) ** 2
+            i, j = np.array(path(mean, s)).T
+            slope += 2 * w * np.bincount(i, weights=mean[i] - s[j], minlength=len(mean))
+            cost += w * ((mean[i] - s[j]) ** 2).sum()
         mean = mean - rate * slope
         if abs(before - cost) < tol:
             break
@@ -87,20 +93,18 @@ def _soft_gradient(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     gap = (a[:, None] - b[None, :]) ** 2
     r = np.full((n + 2, m + 2), np.inf)
     r[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            z = -np.array([r[i - 1, j - 1], r[i - 1, j], r[i, j - 1]]) / gamma
-            top = z.max()
-            r[i, j] = gap[i - 1, j - 1] - gamma * (top + np.log(np.exp(z - top).sum()))
+    for i, j in _diagonals(n, m):
+        z = -np.array([r[i - 1, j - 1], r[i - 1, j], r[i, j - 1]]) / gamma
+        top = z.max(axis=0)
+        r[i, j] = gap[i - 1, j - 1] - gamma * (top + np.log(np.exp(z - top).sum(axis=0)))
     e, d = np.zeros((n + 2, m + 2)), np.zeros((n + 2, m + 2))
     d[1 : n + 1, 1 : m + 1] = gap
     e[n + 1, m + 1] = 1
     r[:, m + 1] = r[n + 1, :] = -np.inf
     r[n + 1, m + 1] = r[n, m]
-    for j in range(m, 0, -1):
-        for i in range(n, 0, -1):
-            way = lambda x, y: np.exp((r[x, y] - r[i, j] - d[x, y]) / gamma) if np.isfinite(r[x, y]) else 0.0  # noqa: B023, E731
-            e[i, j] = e[i + 1, j] * way(i + 1, j) + e[i, j + 1] * way(i, j + 1) + e[i + 1, j + 1] * way(i + 1, j + 1)
+    for i, j in reversed(list(_diagonals(n, m))):
+        for x, y in ((i + 1, j), (i, j + 1), (i + 1, j + 1)):
+            e[i, j] += e[x, y] * np.exp((r[x, y] - r[i, j] - d[x, y]) / gamma)
     return (2 * (a[:, None] - b[None, :]) * e[1 : n + 1, 1 : m + 1]).sum(axis=1)
 
 

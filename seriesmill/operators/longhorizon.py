@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesmill.functions import metrics
-from seriesmill.functions.transforms import ewm
+from seriesmill.functions.transforms import ewm, reach
 from seriesmill.panel import member_names
 
+FOLD = 256  # values that a window of the smoothed mean folds at most
+
 
 def smooth(df: DataFrame, alpha: float = 0.6) -> DataFrame:
-    """Replaces y by its exponentially weighted mean; a fold over each series' past values."""
-    w = W.partitionBy("unique_id").orderBy("ds").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("y", ewm(F.collect_list("y").over(w), alpha))
+    """Replaces y by its exponentially weighted mean.
+
+    A fold over the values whose weights count in double precision, so that work
+    grows with a series' length and not its square; where those are many
+    (``alpha`` below 0.2), one pass over the series in Arrow instead.
+    """
+    if reach(alpha) <= FOLD:
+        w = W.partitionBy("unique_id").orderBy("ds").rowsBetween(-reach(alpha), W.currentRow)
+        return df.withColumn("y", ewm(F.collect_list("y").over(w), alpha))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ds")
+        return pdf.assign(y=pdf["y"].astype(float).ewm(alpha=alpha, adjust=True, ignore_na=True).mean())
+
+    out = df.withColumn("y", F.col("y").cast("double"))
+    return out.groupBy("unique_id").applyInPandas(run, out.schema)
 
 
 def differences(df: DataFrame) -> DataFrame:

@@ -22,7 +22,9 @@ class Mixture(Ensemble):
     over an ordered array of narrow rows, inside the JVM; a global chain is
     serial by its definition. ``which`` 'last' uses the weights before the last
     row's update, 'next' those after it. Rows with a missing value or forecast
-    are dropped or, with ``na`` 'error', refused.
+    are dropped or, with ``na`` 'error', refused. Where a loss is undefined (a
+    percentage of zero, the log of a forecast that is not positive) a member has
+    no regret, so such a row says nothing of it and spoils nothing.
     """
 
     def __init__(self, loss_type: str, gradient: bool, weight_by_uid: bool = False, trim_ratio: float = 1.0, which: str = "last", na: str = "drop", tau: float = 0.5):
@@ -69,7 +71,7 @@ class Mixture(Ensemble):
 
             def with_forecast(fc: Column) -> Column:
                 own = self.loss(fc, row.y, fc)
-                regret = F.transform(row.f, lambda f: own - self.loss(f, row.y, fc))
+                regret = F.transform(row.f, lambda f: F.coalesce(own - self.loss(f, row.y, fc), F.lit(0.0)))
 
                 def with_regret(r: Column) -> Column:
                     b, eta = self._rate(state, r, m)

@@ -136,8 +136,8 @@ class TSMixup(Generator):
 
     Each output draws its number of series, those series with replacement
     (repeats collapse), a length by the shortest of them and the limits, a start
-    in each, and weights by normalised Gamma draws of whole ``alpha`` (by the sum
-    of exponentials), otherwise of its rounding up with the rest left out.
+    in each, and Dirichlet weights: Gamma draws of any positive ``alpha``, over
+    their sum.
     Timestamps are the first of the first series drawn. All draws are a table
     keyed by the output's number, joined to the rows by series.
     """
@@ -157,7 +157,7 @@ class TSMixup(Generator):
         draws = outs.crossJoin(F.broadcast(count)).withColumn("k", rng.randint(seed, "k", F.lit(1), F.lit(self.max_uids), F.col("id")))
         draws = draws.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumn("number", F.floor(rng.uniform(seed, "uid", F.col("id"), F.col("j")) * F.col("uids")).cast("int"))
         draws = draws.groupBy("id", "number").agg(F.min("j").alias("j")).join(listed, "number")
-        gamma = sum((rng.exponential(seed, f"gamma{i}", F.col("id"), F.col("j")) for i in range(max(1, round(self.alpha)))), F.lit(0.0))
+        gamma = rng.gamma(seed, "gamma", self.alpha, F.col("id"), F.col("j"))
         each = W.partitionBy("id")
         most = lambda limit: F.least(F.min("n").over(each), F.lit(limit))
         length = F.when(F.lit(self.min_len == self.max_len), most(self.min_len)).when(most(self.max_len) < most(self.min_len), most(self.max_len)).otherwise(rng.randint(seed, "len", most(self.min_len), most(self.max_len), F.col("id")))

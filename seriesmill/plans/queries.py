@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from seriesmill.functions.losses import LOSSES, expert_loss
 from seriesmill.operators import ade, barycenters, cv, longhorizon, synth, synth_arrow, weighting
 from seriesmill.operators.ensembles import BestOnTrain, Blast, EqAverage, LossOnTrain, Windowing
 from seriesmill.operators.mixture import MLewa, MLpol
+from seriesmill.shared import shared_dir
 from seriesmill.sources import panels
 from seriesmill.streaming import online
 
@@ -81,7 +84,7 @@ def panel_hour_event(spark, sf_dir):
 
 @query
 def members(spark, sf_dir):
-    return shown(panels.members(panels.month_priority(spark, sf_dir)), 2)
+    return shown(panels.members(panels.month_priority(spark, sf_dir)), 2, ols=0)
 
 
 RULES = {
@@ -114,6 +117,40 @@ RULES = {
 QUERIES |= {name: rule(make, **how) for name, (make, how) in RULES.items()}
 
 
+def undefined(model):
+    """Weights where a target or a forecast leaves some losses undefined: March has no orders, the naive forecast for June is negative."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        past = forecasts(spark, sf_dir)[0]
+        past = past.withColumns({"y": F.when(F.month("ds") == 3, F.lit(0.0)).otherwise(F.col("y")), "naive": F.when(F.month("ds") == 6, -F.col("naive")).otherwise(F.col("naive"))})
+        return shown(model().fit(past, MODELS).weights_table())
+
+    return run
+
+
+QUERIES |= {
+    "mlpol_zero_percentage": undefined(lambda: MLpol("percentage", False, weight_by_uid=True)),
+    "mlpol_zero_gradient": undefined(lambda: MLpol("percentage", True, weight_by_uid=True)),
+    "mlpol_negative_log": undefined(lambda: MLpol("log", False, weight_by_uid=True)),
+    "mlewa_zero_absolute": undefined(lambda: MLewa("absolute", False, weight_by_uid=True, which="next")),
+}
+
+
+@query
+def evaluate_join(spark, sf_dir):
+    """Test rows left-joined with forecasts for every other month, scored by member."""
+    future = forecasts(spark, sf_dir)[1]
+    known = future.where(F.month("ds") % 2 == 0).drop("y")
+    return shown(metrics.accuracy(future.select("unique_id", "ds", "y"), known, MODELS))
+
+
+@query
+def evaluate_by_group(spark, sf_dir):
+    """As evaluate_join, by a group of the test rows: the half of the year."""
+    future = forecasts(spark, sf_dir)[1].withColumn("half", F.when(F.month("ds") <= 6, "first").otherwise("second"))
+    return shown(metrics.accuracy(future.select("unique_id", "ds", "y", "half"), future.drop("y", "half"), MODELS, ["half"]))
+
+
 @query
 def smape_full(spark, sf_dir):
     return shown(metrics.scores_by_series(forecasts(spark, sf_dir)[0], MODELS, ["unique_id"]))
@@ -222,6 +259,12 @@ def ewm_smooth(spark, sf_dir):
     return shown(longhorizon.smooth(panels.month_priority(spark, sf_dir)), 2)
 
 
+@query
+def ewm_long(spark, sf_dir):
+    """A slow mean, whose window would be long."""
+    return shown(longhorizon.smooth(panels.month_priority(spark, sf_dir), 0.05), 2)
+
+
 @query
 def diff1(spark, sf_dir):
     return shown(longhorizon.differences(panels.month_priority(spark, sf_dir)), 2)
@@ -378,11 +421,7 @@ def ade_forecasters(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, write) -> DataFrame:
     """Runs ``write`` (stream of event rows, out folder, checkpoint folder) to its end; returns what it wrote."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seriesmill-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = panels.read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     write(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
@@ -405,9 +444,9 @@ def online_mlpol(spark, sf_dir):
     """Mixture weights by event type, learned as events come: two constant members and their mean."""
 
     def write(stream: DataFrame, out: str, checkpoint: str):
-        rows = stream.select(F.col("event_type").alias("unique_id"), (F.col("ts") + F.expr("make_interval(0,0,0,0,0,0,event_id * 1e-6)")).alias("ds"), F.col("value").alias("y"))
-        rows = rows.select("unique_id", "ds", "y", F.lit(10.0).alias("low"), F.lit(50.0).alias("high"), F.lit(30.0).alias("middle"))
-        found = online.online_weights(rows, ["low", "high", "middle"])
+        rows = stream.select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("event_id"), F.col("value").alias("y"))
+        rows = rows.select("unique_id", "ds", "event_id", "y", F.lit(10.0).alias("low"), F.lit(50.0).alias("high"), F.lit(30.0).alias("middle"))
+        found = online.online_weights(rows, ["low", "high", "middle"], tie="event_id")
         return found.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     rows = _streamed(spark, sf_dir, write)

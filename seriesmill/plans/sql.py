@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
+from seriesmill.operators.synth import spline_basis
+
 MODELS = ["naive", "ma3", "snaive"]
 M = len(MODELS)
 
 PANELS = {
     "month_priority": """SELECT o_orderpriority AS unique_id, date_trunc('month', o_orderdate)::DATE AS ds, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS y
-        FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY ALL""",
+        FROM orders WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate) + INTERVAL 1 DAY) FROM orders) GROUP BY ALL""",
     "month_nation": """SELECT c_nationkey::VARCHAR AS unique_id, date_trunc('month', o_orderdate)::DATE AS ds, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS y
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY ALL""",
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < (SELECT date_trunc('month', max(o_orderdate) + INTERVAL 1 DAY) FROM orders) GROUP BY ALL""",
     "month_flag": """SELECT l_returnflag || l_linestatus AS unique_id, date_trunc('month', l_shipdate)::DATE AS ds, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS y
         FROM lineitem GROUP BY ALL""",
     "hour_event": "SELECT event_type AS unique_id, date_trunc('hour', ts) AS ds, count(*)::DOUBLE AS y FROM events GROUP BY ALL",
@@ -110,7 +112,7 @@ def mixture(rule: str, kind: str = "square", gradient: bool = True, by_uid: bool
     w = each(f"CASE WHEN greatest({top}) <= 0 THEN 1.0::DOUBLE / {M} ELSE q# / ({each('q#', ' + ')}) END AS w#")
     fields = ", ".join(f"{m} AS f{i}" for i, m in enumerate(MODELS))
     own = loss(kind, gradient, "fc", "fc")
-    regret = ", ".join(f"own - {loss(kind, gradient, f'f{i}', 'fc')} AS g{i}" for i in range(M))
+    regret = ", ".join(f"coalesce(own - {loss(kind, gradient, f'f{i}', 'fc')}, 0) AS g{i}" for i in range(M))
     fold = f""", rws AS (SELECT {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY ds, unique_id) AS i, y, {fields} FROM past),
         st AS (SELECT DISTINCT k, 0::BIGINT AS i, {each('0.0::DOUBLE AS r#')}, {each(f'{first}::DOUBLE AS e#')}, 0.0::DOUBLE AS b, {each(f'1.0::DOUBLE / {M} AS w#')} FROM rws
         UNION ALL
@@ -185,12 +187,105 @@ def losses(gradient: bool) -> str:
     return forecasts() + f" SELECT unique_id, ds::VARCHAR AS ds, {columns} FROM (SELECT unique_id, ds, y / 1e6 AS y, naive / 1e6 AS f, ma3 / 1e6 AS fc FROM past)"
 
 
+def undefined(*how, **named) -> str:
+    """A mixture over the past with some targets of zero and some forecasts below it."""
+    changed = "past AS (SELECT unique_id, ds, CASE WHEN month(ds) = 3 THEN 0 ELSE y END AS y, CASE WHEN month(ds) = 6 THEN -naive ELSE naive END AS naive, ma3, snaive FROM f WHERE back > 6)"
+    return mixture(*how, **named).replace("past AS (SELECT * FROM f WHERE back > 6)", changed)
+
+
+def accuracy(rows: str, by: str) -> str:
+    """Scores of ``rows``, which have a null where a forecast is missing."""
+    return f" SELECT {by}, model, round(2 * avg(CASE WHEN abs(y) + abs(f) = 0 THEN 0 ELSE abs(y - f) / (abs(y) + abs(f)) END), 6) + 0.0 AS smape, count(f) AS n FROM ({rows}) GROUP BY ALL"
+
+
+def slow(alpha: float) -> str:
+    """Terms of an exponentially weighted mean."""
+    power = f"list_transform(range(1, n + 1), lambda i: pow({1 - alpha!r}, n - i)"
+    return f"list_sum({power} * ys[i])) / list_sum({power}))"
+
+
+def warped() -> str:
+    """A cubic spline through six drawn knots, by the second derivatives that are linear in them."""
+    knots = ", ".join(f"1 + 0.2 * {normal(f'knot{j}', 'unique_id')} AS k{j}" for j in range(6))
+    second = "[" + ", ".join(" + ".join(f"({w!r}) * k{j}" for j, w in enumerate(row.tolist())) for row in spline_basis(6)) + "]"
+    curve = "(1 - t) * v[i + 1] + t * v[i + 2] + (((1 - t) * (1 - t) * (1 - t) - (1 - t)) * s[i + 1] + (t * t * t - t) * s[i + 2]) / 6"
+    return f""", u AS (SELECT unique_id, {knots} FROM (SELECT DISTINCT unique_id FROM p)), c AS (SELECT unique_id, [k0, k1, k2, k3, k4, k5] AS v, {second} AS s FROM u),
+        q AS (SELECT p.unique_id, ds, y, v, s, (row_number() OVER w - 1) * 5.0::DOUBLE / (count(*) OVER (PARTITION BY p.unique_id) - 1) AS place FROM p JOIN c USING (unique_id) WINDOW w AS (PARTITION BY p.unique_id ORDER BY ds)),
+        r AS (SELECT *, least(floor(place), 4)::INT AS i FROM q), x AS (SELECT *, place - i AS t FROM r), p2 AS (SELECT unique_id, ds, y * ({curve}) AS y FROM x) """ + renamed("y", "MAG").replace("FROM p JOIN", "FROM p2 p JOIN")
+
+
+def gamma(salt: str, alpha: float, keys: str) -> str:
+    """A Gamma draw for an alpha of 1 or more, the first candidate accepted."""
+    d = alpha - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    found = []
+    for i in range(8):
+        x, u = normal(f"{salt}x{i}", keys), f"(({draw(f'{salt}u{i}', keys)} + 1) / 4294967297.0::DOUBLE)"
+        v = f"pow(1 + {c!r} * {x}, 3)"
+        good = f"{v} > 0 AND ln({u}) < 0.5 * pow({x}, 2) + {d!r} - {d!r} * {v} + {d!r} * ln(CASE WHEN {v} > 0 THEN {v} ELSE 1 END)"
+        found.append(f"WHEN {good} THEN {d!r} * {v}")
+    return f"(CASE {' '.join(found)} ELSE {d!r} * greatest({v}, 0) END)"
+
+
+def mixup() -> str:
+    whole = lambda salt, low, high, keys: f"({low} + floor({draw(salt, keys)} / 4294967296.0::DOUBLE * ({high} - {low} + 1)))::INT"
+    most = lambda limit: f"least(min(n) OVER (PARTITION BY id), {limit})"
+    return panel("month_nation") + f""", sizes AS (SELECT unique_id, count(*) AS n FROM p GROUP BY unique_id), listed AS (SELECT *, row_number() OVER (ORDER BY unique_id) - 1 AS number FROM sizes),
+        a AS (SELECT number AS id, {whole('k', 1, 4, 'number')} AS k FROM listed), b AS (SELECT id, unnest(range(1, k + 1)) AS j FROM a),
+        c AS (SELECT id, floor({draw('uid', "id || '|' || j")} / 4294967296.0::DOUBLE * (SELECT count(*) FROM sizes))::INT AS number, min(j) AS j FROM b GROUP BY ALL),
+        d AS (SELECT id, j, unique_id, n, {gamma('gamma', 1.5, "id || '|' || j")} AS g, {most(40)} AS hi, {most(10)} AS lo, min(j) OVER (PARTITION BY id) = j AS first FROM c JOIN listed USING (number)),
+        e AS (SELECT *, CASE WHEN hi < lo THEN hi ELSE {whole('len', 'lo', 'hi', 'id')} END AS length, g / sum(g) OVER (PARTITION BY id) AS w FROM d),
+        f AS (SELECT *, {whole('start', 0, '(n - length)', "id || '|' || j")} AS start FROM e),
+        r AS (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS place FROM p),
+        rows_ AS (SELECT f.*, ds, y, place FROM f JOIN r USING (unique_id)),
+        m AS (SELECT id, place - start AS step, sum(w * y) AS y FROM rows_ WHERE place >= start AND place < start + length GROUP BY ALL)
+        SELECT 'TSMixup_' || t.id AS unique_id, t.ds::VARCHAR AS ds, round(m.y, 2) + 0.0 AS y FROM rows_ t JOIN m ON m.id = t.id AND m.step = t.place WHERE t.first AND t.place < t.length"""
+
+
+def ade_two() -> str:
+    """ADE with least squares on the first and the thirteenth lag, by the normal equations."""
+    sums = ", ".join(f"covar_pop({m} - y, lag1) AS c{i}, covar_pop({m} - y, lag13) AS d{i}, avg({m} - y) AS m{i}" for i, m in enumerate(MODELS))
+    slope = lambda i: (f"(c{i} * vb - d{i} * v) / (va * vb - v * v)", f"(d{i} * va - c{i} * v) / (va * vb - v * v)")
+    errors = " UNION ALL ".join(f"SELECT unique_id, {i} AS pos, abs(m{i} + {slope(i)[0]} * (x1 - a1) + {slope(i)[1]} * (x13 - a13)) AS score FROM ends CROSS JOIN fit" for i in range(M))
+    return forecasts() + scores(None) + f""", lg AS (SELECT *, lag(y, 1) OVER w AS lag1, lag(y, 13) OVER w AS lag13 FROM past WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),
+        fit AS (SELECT {sums}, var_pop(lag1) AS va, var_pop(lag13) AS vb, covar_pop(lag1, lag13) AS v, avg(lag1) AS a1, avg(lag13) AS a13 FROM lg WHERE lag13 IS NOT NULL),
+        back13 AS (SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS b FROM past),
+        ends AS (SELECT unique_id, max(CASE WHEN b = 1 THEN y END) AS x1, max(CASE WHEN b = 13 THEN y END) AS x13 FROM back13 GROUP BY unique_id), expected AS ({errors})""" + SHARES.replace("FROM scores", "FROM expected") + kept(True, "score") + trimmed(3) + pivot("final", "w")
+
+
+def ade_run() -> str:
+    """ADE over two forecasters: the last value, and that of the same month a year before."""
+    pair = ("naive", "snaive")
+    rows = " UNION ALL ".join(f"SELECT unique_id, y, {i} AS pos, '{m}' AS model, {m} AS f FROM past" for i, m in enumerate(pair))
+    lines = ", ".join(f"regr_slope({m} - y, lag1) AS s{i}, regr_intercept({m} - y, lag1) AS i{i}" for i, m in enumerate(pair))
+    errors = " UNION ALL ".join(f"SELECT unique_id, {i} AS pos, abs(s{i} * y + i{i}) AS score FROM ends CROSS JOIN fit" for i in range(2))
+    return panel() + f""", m AS (SELECT unique_id, ds, y, lag(y, 1) OVER w AS naive, lag(y, 12) OVER w AS snaive FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),
+        past AS (SELECT * FROM m WHERE snaive IS NOT NULL), scores AS (SELECT unique_id, model, pos, {SMAPE} AS score FROM ({rows}) GROUP BY ALL),
+        lg AS (SELECT *, lag(y, 1) OVER (PARTITION BY unique_id ORDER BY ds) AS lag1 FROM past), fit AS (SELECT {lines} FROM lg WHERE lag1 IS NOT NULL),
+        back AS (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS b FROM p), ends AS (SELECT * FROM back WHERE b = 1),
+        expected AS ({errors})""" + SHARES.replace("FROM scores", "FROM expected") + kept(True, "score") + trimmed(2) + """,
+        ahead AS (SELECT e.unique_id, (e.ds + to_months(step::INT))::DATE AS ds, step, e.y AS naive, l.y AS snaive FROM ends e CROSS JOIN (SELECT unnest(range(1, 7)) AS step) JOIN back l ON l.unique_id = e.unique_id AND l.b = 12 - (step - 1) % 12)
+        SELECT a.unique_id, a.ds::VARCHAR AS ds, round(sum(w * CASE WHEN pos = 0 THEN naive ELSE snaive END), 2) + 0.0 AS forecast FROM ahead a JOIN final USING (unique_id) GROUP BY ALL"""
+
+
+def online() -> str:
+    """The fold of mixture() over the events of each type, with three constant members."""
+    past = "WITH RECURSIVE past AS (SELECT event_type AS unique_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS ds, value AS y, 10.0::DOUBLE AS naive, 50.0::DOUBLE AS ma3, 30.0::DOUBLE AS snaive FROM events)"
+    named = ", ".join(f"round(max(CASE WHEN pos = {i} THEN w END), 6) + 0.0 AS {m}" for i, m in enumerate(("low", "high", "middle")))
+    out = f" SELECT unique_id, max(n) AS n, {named} FROM final JOIN (SELECT unique_id, count(*) AS n FROM past GROUP BY unique_id) USING (unique_id) GROUP BY unique_id"
+    return mixture("mlpol", after=True).replace(forecasts(), past).replace(pivot("final", "w"), out)
+
+
+EVENTS = "WITH RECURSIVE p AS (SELECT event_type AS unique_id, event_id AS ds, value AS y FROM events)"
+
 SQL = {
     **{f"panel_{name}": panel(name) + dates("") for name in PANELS},
-    "members": panel() + """, m AS (SELECT unique_id, ds, y, lag(y, 1) OVER w AS naive, (lag(y, 1) OVER w + lag(y, 2) OVER w + lag(y, 3) OVER w) / 3 AS ma3, lag(y, 12) OVER w AS snaive,
-            lag(y, 1) OVER w + (lag(y, 1) OVER w - first_value(y) OVER w) / (row_number() OVER w - 2) AS drift, avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean,
-            row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds))
-        SELECT unique_id, ds::VARCHAR AS ds, """ + ", ".join(f"round({c}, 2) + 0.0 AS {c}" for c in ("y", *MODELS, "drift", "mean")) + " FROM m WHERE n > 12",
+    "members": panel() + """, x AS (SELECT *, lag(y, 1) OVER w AS x FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),
+        m AS (SELECT unique_id, ds, y, lag(y, 1) OVER w AS naive, (lag(y, 1) OVER w + lag(y, 2) OVER w + lag(y, 3) OVER w) / 3 AS ma3, lag(y, 12) OVER w AS snaive,
+            lag(y, 1) OVER w + (lag(y, 1) OVER w - first_value(y) OVER w) / (row_number() OVER w - 2) AS drift, avg(y) OVER b AS mean, list(y) OVER b AS ys, count(*) OVER b AS n,
+            regr_intercept(y, x) OVER b + regr_slope(y, x) OVER b * x AS ols, row_number() OVER w AS row_n
+            FROM x WINDOW w AS (PARTITION BY unique_id ORDER BY ds), b AS (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT unique_id, ds::VARCHAR AS ds, round(ols, 0) + 0.0 AS ols, """ + f"round({slow(0.3)}, 2) + 0.0 AS ewm, " + ", ".join(f"round({c}, 2) + 0.0 AS {c}" for c in ("y", *MODELS, "drift", "mean")) + " FROM m WHERE row_n > 12",
     "windowing_forecast": static(3, True, 12),
     "windowing_by_uid": static(2, True, 12, weights=True),
     "windowing_global_trim": static(2, False, 12, weights=True),
@@ -253,6 +348,19 @@ SQL = {
     "ade_errors": forecasts() + " SELECT unique_id, ds::VARCHAR AS ds, round(y, 2) AS y, " + ", ".join(f"round({m} - y, 2) + 0.0 AS {m}" for m in MODELS) + " FROM past",
     "ade_lag_matrix": forecasts() + ", l AS (SELECT unique_id, ds, y, " + ERRORS + ", lag(y, 1) OVER w AS lag1, lag(y, 13) OVER w AS lag13 FROM past WINDOW w AS (PARTITION BY unique_id ORDER BY ds)) SELECT unique_id, ds::VARCHAR AS ds, " + ", ".join(f"round({c}, 2) + 0.0 AS {c}" for c in ("y", *MODELS, "lag1", "lag13")) + " FROM l WHERE lag13 IS NOT NULL",
     "ade_weights_ols": ade(3, True),
+    "ade_linear": ade_two(),
+    "ade_forecasters": ade_run(),
+    "online_mlpol": online(),
+    "mlpol_zero_percentage": undefined("mlpol", "percentage", gradient=False),
+    "mlpol_zero_gradient": undefined("mlpol", "percentage"),
+    "mlpol_negative_log": undefined("mlpol", "log", gradient=False),
+    "mlewa_zero_absolute": undefined("mlewa", "absolute", gradient=False, after=True),
+    "evaluate_join": forecasts() + accuracy(" UNION ALL ".join(f"SELECT unique_id, y, '{m}' AS model, CASE WHEN month(ds) % 2 = 0 THEN {m} END AS f FROM future" for m in MODELS), "unique_id"),
+    "evaluate_by_group": forecasts() + accuracy(" UNION ALL ".join(f"SELECT CASE WHEN month(ds) <= 6 THEN 'first' ELSE 'second' END AS half, y, '{m}' AS model, {m} AS f FROM future" for m in MODELS), "half"),
+    "ewm_long": panel() + f", l AS (SELECT unique_id, ds, list(y) OVER w AS ys, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY unique_id ORDER BY ds)) SELECT unique_id, ds::VARCHAR AS ds, round({slow(0.05)}, 2) + 0.0 AS y FROM l",
+    "magnitude_warp": panel() + warped(),
+    "tsmixup": mixup(),
+    "online_augment": EVENTS + " SELECT unique_id, ds, round(y, 4) + 0.0 AS y FROM p UNION ALL SELECT p.unique_id || '_JIT' || (row_number - 1), ds, round(y + " + normal("jitter", KEY) + " * 0.03 * sd, 4) + 0.0 FROM p JOIN (SELECT unique_id, stddev_samp(y) AS sd, row_number() OVER (ORDER BY unique_id) AS row_number FROM p GROUP BY unique_id) USING (unique_id)",
     "ade_forecast_ols": ade(2, False),
     "knn_embeddings": """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL),
         q AS (SELECT label, list(v ORDER BY i) AS q FROM c GROUP BY label), d AS (SELECT q.label::BIGINT AS query, vec_id, list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - embedding[i]::DOUBLE) * (q[i] - embedding[i]::DOUBLE))) AS d FROM embeddings CROSS JOIN q)

@@ -63,15 +63,18 @@ class OnlineAugmentation:
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def online_weights(stream: DataFrame, models: list[str], kind: str = "mlpol") -> DataFrame:
+def online_weights(stream: DataFrame, models: list[str], kind: str = "mlpol", tie: str | None = None) -> DataFrame:
     """A series' mixture weights after each micro-batch, from squared gradient losses learned as rows come.
 
-    State is one row a series: regrets, rates and the last time learned; rows at
-    or before that time came late and are left out. In order, the weights are
-    those of the batch fold after its last row.
+    Rows are learned in the order of ``ds``, then of ``tie``, a whole number that
+    tells rows of one time apart where a series has such. State is one row a
+    series: regrets, rates and the last time and tie learned; rows at or before
+    them came late and are left out, so weights depend on the order of rows and
+    not on how they fall into batches. In order, the weights are those of the
+    batch fold after its last row.
     """
     m = len(models)
-    state = "r array<double>, eta array<double>, b double, ds timestamp_ntz, n long"
+    state = "r array<double>, eta array<double>, b double, ds timestamp_ntz, tie long, n long"
     out = "unique_id string, ds timestamp_ntz, n long, weights array<double>"
     first = math.exp(100 if kind == "mlpol" else 350)
 
@@ -82,12 +85,13 @@ def online_weights(stream: DataFrame, models: list[str], kind: str = "mlpol") ->
         return raw / raw.sum()
 
     def learn(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        r, eta, b, last, n = held.get if held.exists else ([0.0] * m, [first] * m, 0.0, None, 0)
+        r, eta, b, last, seen, n = held.get if held.exists else ([0.0] * m, [first] * m, 0.0, None, 0, 0)
         r, eta = np.array(r), np.array(eta)
-        rows = pd.concat(list(frames)).sort_values("ds")
+        rows = pd.concat(list(frames)).sort_values(["ds", "__tie"], kind="stable")
         if last is not None:
-            rows = rows[rows["ds"] > last]
-        for row in rows.dropna(subset=["y", *models]).itertuples(index=False):
+            rows = rows[(rows["ds"] > last) | ((rows["ds"] == last) & (rows["__tie"] > seen))]
+        rows = rows.dropna(subset=["y", *models])
+        for row in rows.drop(columns="__tie").itertuples(index=False):
             f = np.array([getattr(row, c) for c in models], dtype=float)
             w = weights(r, eta)
             fc = float((w / w.sum() * f).sum())
@@ -99,8 +103,11 @@ def online_weights(stream: DataFrame, models: list[str], kind: str = "mlpol") ->
             else:
                 eta = np.sqrt(math.log(m) / (math.log(m) / (eta * eta) + loss * loss))
             last, n = row.ds, n + 1
+        if len(rows):
+            seen = int(rows["__tie"].iloc[-1])
         if last is not None:
-            held.update((r.tolist(), eta.tolist(), b, last, n))
+            held.update((r.tolist(), eta.tolist(), b, last, seen, n))
             yield pd.DataFrame({"unique_id": [key[0]], "ds": [last], "n": [n], "weights": [weights(r, eta).tolist()]})
 
+    stream = stream.withColumn("__tie", F.lit(0).cast("long") if tie is None else F.col(tie).cast("long"))
     return stream.groupBy("unique_id").applyInPandasWithState(learn, out, state, "update", GroupStateTimeout.NoTimeout)
