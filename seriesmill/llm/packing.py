@@ -71,10 +71,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     cluster_of the text); null is in conflict with nothing. Pieces go, longest
     first, to the compatible bin with least room left, ties to the oldest.
 
-    Rows are dealt into shards of about SHARD_PIECES by hash of the row, which
-    cuts up any hot source or cluster, and shards are packed apart, so bins stay
-    open at their ends only once a shard. Null and empty texts take one unit.
-    Equal rows are told apart by a number of their own; an empty table gives an
+    Rows are dealt into shards of about SHARD_PIECES by hash of what they are
+    (id, length, source, cluster) and a number among rows alike in all of it,
+    which cuts up any hot source, cluster or row and depends on neither order nor
+    partitions. Shards are packed apart, so bins stay open at their ends only
+    once a shard. Null and empty texts take one unit. An empty table gives an
     empty table. Other columns are not read.
     """
     body = text_or_empty(text)
@@ -83,20 +84,23 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
         F.col(doc_id).cast("long").alias("doc_id"),
         F.greatest(size, F.lit(1)).alias("size"),
         (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("source"),
-        (cluster_of(body) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
-        F.monotonically_increasing_id().alias("row"),
+        (cluster_of(body) if cluster is None else F.when(cluster.isNotNull(), F.xxhash64(cluster))).alias("cluster"),
     )
-    rows = stored(rows, "lengths")
-    shards = max(1, -(-rows.count() // SHARD_PIECES))
+    what = ["doc_id", "size", "source", "cluster"]
+    rows = stored(rows.groupBy(what).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    shards = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // SHARD_PIECES))
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SHARD_PIECES).cast("long"))))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.col("step"), F.least(F.col("step") + SHARD_PIECES, F.col("n")) - 1))).drop("n", "step")
     whole = F.floor(F.col("size") / capacity)
-    full = rows.where(F.col("size") >= capacity).select("doc_id", "row", F.explode(F.sequence(F.lit(0), whole.cast("int") - 1)).alias("piece"))
-    full = full.select("doc_id", "piece", (F.col("piece") * capacity).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), F.concat_ws("-", F.lit("w"), "row", "piece").alias("bin_id"), F.lit(0).cast("long").alias("offset"))
-    rest = rows.withColumn("length", F.col("size") % capacity).where("length > 0").withColumns({"piece": whole.cast("int"), "start": whole.cast("long") * capacity, "shard": F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")})
+    full = rows.where(F.col("size") >= capacity).select(*what, "number", F.explode(F.sequence(F.lit(0), whole.cast("int") - 1)).alias("piece"))
+    own = F.concat_ws("-", F.lit("w"), F.hex(F.xxhash64(*what)), F.col("doc_id"), F.col("number"), F.col("piece"))
+    full = full.select("doc_id", "piece", (F.col("piece") * capacity).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), own.alias("bin_id"), F.lit(0).cast("long").alias("offset"))
+    rest = rows.withColumn("length", F.col("size") % capacity).where("length > 0").withColumns({"piece": whole.cast("int"), "start": whole.cast("long") * capacity, "shard": F.pmod(F.xxhash64(*what, "number"), F.lit(shards)).cast("int")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "row"], na_position="first", kind="stable")
+        pdf = pdf.sort_values(["doc_id", "size", "source", "cluster", "number"], na_position="first", kind="stable")
         null = lambda column: [None if x is None or x != x else x for x in column]
-        placed = pack_shard(list(zip(pdf["length"].tolist(), null(pdf["source"]), pdf["cluster"].tolist(), strict=True)), capacity)
+        placed = pack_shard(list(zip(pdf["length"].tolist(), null(pdf["source"]), null(pdf["cluster"]), strict=True)), capacity)
         out = pdf[["doc_id", "piece", "start", "length"]].copy()
         out["bin_id"] = [f"{s}-{b}" for s, (b, _) in zip(pdf["shard"], placed, strict=True)]
         out["offset"] = [o for _, o in placed]
