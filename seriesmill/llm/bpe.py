@@ -7,6 +7,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from seriesmill.llm.common import remembered, text_or_empty
 LEAF = 2048  # characters of a piece encoded on their own
 CACHE = 500_000  # chunks whose ids a worker remembers
 WINDOW = 1 << 20  # characters of a text split at a time
+THREADS = 2  # that encode the leaves of one piece
 FIRST = 8  # tokens on either side of a join that are encoded again at first
 
 #: The white space of the vocabulary's splitting pattern.
@@ -42,8 +44,12 @@ def joined(a: list[int], b: list[int], letters: list[str], encode) -> list[int]:
 
     The last tokens of the one and the first of the other are encoded again
     together; once the result begins and ends with the same tokens as the parts
-    do there, every pair of neighbours is one that the merges leave apart, so
-    nothing outside the window can change. Otherwise the window doubles.
+    do there, every pair of neighbours is one that the merges leave apart: pairs
+    within a part or the window because those are encodings themselves, pairs
+    at the window's edges because they stand in a part. With merges by rank a
+    sequence is its text's encoding exactly if each pair of neighbours is, since
+    the first merge that crossed a boundary would also cross it in the pair
+    alone. Otherwise the window doubles, in the end to the whole piece.
     """
     k = FIRST
     while True:
@@ -87,11 +93,12 @@ class Encoder:
         return self.core.encode(piece, add_special_tokens=False).ids
 
     def tree(self, piece: str) -> list[int]:
-        """A long piece in the byte alphabet: its leaves in parallel, then neighbours joined level by level."""
+        """A long piece in the byte alphabet: its halves' leaves in parallel, then neighbours joined level by level."""
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # only here: threads cost more than they save on short chunks
-        level = [e.ids for e in self.core.encode_batch_fast(leaves, add_special_tokens=False)]
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with ThreadPoolExecutor(THREADS) as pool:  # the library leaves the interpreter's lock while it encodes
+            halves = [leaves[i * len(leaves) // THREADS : (i + 1) * len(leaves) // THREADS] for i in range(THREADS)]
+            found = pool.map(lambda part: self.core.encode_batch_fast(part, add_special_tokens=False), halves)
+            level = [e.ids for part in found for e in part]
         while len(level) > 1:
             pairs = [joined(level[i], level[i + 1], self.letters, self._core) for i in range(0, len(level) - 1, 2)]
             level = pairs + level[len(pairs) * 2 :]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seriesmill.llm.bpe import CACHE, byte_letters, lists, slices
@@ -85,13 +86,14 @@ class WordEncoder:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes ORC files of SCHEMA under ``path``, a row per document, in ascending doc_id order over files and rows.
 
-    Documents are dealt out by ranges of doc_id before they are encoded, so each
-    task streams its range into one file; ``local_start`` counts the ids before
-    a document in its file. ORC run-length encodes the ids; every stripe has row
-    indexes, and a Bloom filter on doc_id. ``end_id`` ends each document; null
-    and empty texts have nothing else. Null ids come first, rows that share a
-    doc_id are ordered by text and stay in one file. An empty table writes no
-    row. Other columns are not read.
+    Documents are dealt out by ranges of doc_id and a hash of the text before
+    they are encoded, so each task streams its range into one file, and rows
+    that share an id, or have none, spread over several; ``local_start`` counts
+    the ids before a document in its file. ORC run-length encodes the ids; every
+    stripe has row indexes, and a Bloom filter on doc_id. ``end_id`` ends each
+    document; null and empty texts have nothing else. Null ids come first, rows
+    that share a doc_id are ordered by their texts' hash, then text. An empty
+    table writes no row. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +108,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id
                 yield pa.record_batch([b.column(0), pa.array(starts), pa.array(n), lists(ids)], names=["doc_id", "local_start", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("body"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+    rows = rows.withColumn("salt", F.xxhash64("body")).repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt", "body").drop("salt")
     writer = rows.mapInArrow(run, SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", FPP)
     writer.option("orc.row.index.stride", STRIDE).option("orc.stripe.size", STRIPE).option("compression", "zstd").orc(path)
 
@@ -114,13 +116,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids, file) of the files under ``path``.
 
-    ``start`` adds the ids of earlier files, a sum over one row a file; up to
-    FILES of them are broadcast, more are joined in a shuffle. Filters
-    on doc_id reach the files' statistics, row indexes and Bloom filters.
+    ``start`` adds the ids of earlier files, by the numbers in their names, a
+    sum over one row a file; up to FILES of them are broadcast, more are joined
+    in a shuffle. Filters on doc_id reach the files' statistics, row indexes and
+    Bloom filters.
     """
+    name = F.element_at(F.split("file", "/"), -1)
+    number = [F.regexp_extract(name, pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)")]
     rows = spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_path"))
     files = spark.read.schema(SCHEMA).orc(path).select(F.col("_metadata.file_path").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    base = files.selectExpr("file", "sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS base")
+    before = W.orderBy(*number, "file").rowsBetween(W.unboundedPreceding, -1)
+    base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     base = F.broadcast(base) if len(rows.inputFiles()) <= FILES else base
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids", "file")
 
