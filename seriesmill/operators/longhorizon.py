@@ -134,3 +134,10 @@ def alpha_scores(cv: DataFrame, models: list[str], scale: float = 200.0) -> Data
     mean = per.groupBy("horizon").agg(*[F.avg(f"e{i}").alias(f"e{i}") for i in range(len(pairs))])
     rows = [F.struct(F.lit(m).alias("model"), (1 / (1 + F.exp(F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")))).alias("alpha")) for i, m in enumerate(models)]
     return mean.select("horizon", F.explode(F.array(*rows)).alias("r")).select("r.model", "horizon", "r.alpha")
+
+
+def rolling_alpha(alpha: DataFrame, window: int = 3) -> DataFrame:
+    """(model, horizon, alpha) with alpha's mean over the last ``window`` horizons, null before there are so many."""
+    w = W.partitionBy("model").orderBy("horizon").rowsBetween(1 - window, W.currentRow)
+    mean = F.when(F.count("alpha").over(w) == window, F.avg("alpha").over(w))
+    return alpha.select("model", "horizon", mean.alias("alpha"))

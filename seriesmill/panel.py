@@ -64,3 +64,8 @@ def whole_members(df: DataFrame, models: list[str], na: str) -> DataFrame:
     if na == "error":
         return df.where(F.when(holes, F.raise_error(F.lit("a member's forecast is missing")).cast("boolean")).otherwise(True))
     raise ValueError("na must be 'drop' or 'error'")
+
+
+def with_times(df: DataFrame, names: Names = DEFAULT, pattern: str | None = None) -> DataFrame:
+    """``df`` with its times, given as text, as timestamps without a zone; text that is none is an error."""
+    return df.withColumn(names.time, F.to_timestamp_ntz(names.time, *([] if pattern is None else [F.lit(pattern)])))

@@ -13,6 +13,7 @@ from seriesmill.functions.losses import LOSSES, expert_loss
 from seriesmill.operators import ade, barycenters, cv, longhorizon, synth, synth_arrow, weighting
 from seriesmill.operators.ensembles import BestOnTrain, Blast, EqAverage, LossOnTrain, Windowing
 from seriesmill.operators.mixture import MLewa, MLpol
+from seriesmill.panel import with_times
 from seriesmill.shared import shared_dir
 from seriesmill.sources import panels
 from seriesmill.streaming import online
@@ -301,6 +302,20 @@ def alpha_cv(spark, sf_dir):
     return shown(longhorizon.alpha_scores(cv.get_horizon(out), ["naive"], scale=2.0))
 
 
+@query
+def alpha_rolling(spark, sf_dir):
+    past, future = forecasts(spark, sf_dir)
+    out = longhorizon.FTN(5, HOLDOUT).fit(past.select("unique_id", "ds", "y")).predict(future, ["naive"])
+    return shown(longhorizon.rolling_alpha(longhorizon.alpha_scores(cv.get_horizon(out), ["naive"], scale=2.0)))
+
+
+@query
+def times_from_text(spark, sf_dir):
+    """A panel whose times come as text."""
+    rows = panels.hour_event(spark, sf_dir).withColumn("ds", F.date_format("ds", "yyyy-MM-dd HH:mm:ss"))
+    return with_times(rows).groupBy("unique_id", F.hour("ds").cast("long").alias("hour")).agg(F.sum("y").alias("y"))
+
+
 @query
 def jitter(spark, sf_dir):
     return shown(synth.Jittering(seed=7).transform(panels.month_priority(spark, sf_dir)), 2)

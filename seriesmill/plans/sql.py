@@ -341,6 +341,11 @@ SQL = {
     "alpha_cv": ALPHA_CV.rsplit("WHERE g.model", 1)[0] + """WHERE g.model = 'naive' AND o.model = 'snaive'),
         e AS (SELECT h, unique_id, 2 * avg(abs(y - naive) / (abs(y) + abs(naive))) AS a, 2 * avg(abs(y - n) / (abs(y) + abs(n))) AS b FROM o GROUP BY ALL)
         SELECT 'naive' AS model, h AS horizon, round(1 / (1 + exp(avg(b) - avg(a))), 6) AS alpha FROM e GROUP BY h""",
+    "alpha_rolling": ALPHA_CV.rsplit("WHERE g.model", 1)[0] + """WHERE g.model = 'naive' AND o.model = 'snaive'),
+        e AS (SELECT h, unique_id, 2 * avg(abs(y - naive) / (abs(y) + abs(naive))) AS a, 2 * avg(abs(y - n) / (abs(y) + abs(n))) AS b FROM o GROUP BY ALL),
+        k AS (SELECT h, 1 / (1 + exp(avg(b) - avg(a))) AS alpha FROM e GROUP BY h)
+        SELECT 'naive' AS model, h AS horizon, CASE WHEN count(*) OVER w = 3 THEN round(avg(alpha) OVER w, 6) END AS alpha FROM k WINDOW w AS (ORDER BY h ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+    "times_from_text": "SELECT event_type AS unique_id, hour(ts) AS hour, count(*)::DOUBLE AS y FROM events GROUP BY ALL",
     "jitter": panel() + renamed(f"y + {normal('jitter', KEY)} * 0.03 * sd", "JIT").replace("FROM p JOIN", "FROM (SELECT *, stddev_samp(y) OVER (PARTITION BY unique_id) AS sd FROM p) p JOIN"),
     "scaling": panel() + SCALED,
     "augment_union": panel() + SCALED + " UNION ALL" + dates(""),
