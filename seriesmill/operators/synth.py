@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from seriesmill.functions import rng
 from seriesmill.panel import DEFAULT, Names
+from seriesmill.shared import shared_dir
+
+RANGE = 1 << 20  # ids that one task puts in order
 
 
 def _target(df: DataFrame, value: Column, names: Names, integer_output: bool | None) -> Column:
@@ -20,14 +24,29 @@ def _target(df: DataFrame, value: Column, names: Names, integer_output: bool | N
     return value.cast(kind if kind not in ("double", "float") else "bigint") if whole else value
 
 
-def renamed(df: DataFrame, alias: str, names: Names = DEFAULT, offset: int = 0) -> DataFrame:
-    """Ids become id_alias and a number by the order of ids, from ``offset``.
+def numbered(ids: DataFrame, key: str, number: str, count: int | None = None) -> DataFrame:
+    """``ids``, one row a ``key``, with ``number``: the rows before it in the order of keys.
 
-    Numbers come from a table of distinct ids, so no window spans all rows.
+    Up to RANGE of ``count`` rows are put in order by one task. More are dealt
+    to ranges of keys, written to the shared folder and numbered within their
+    range from the rows of the ranges before it, so no task sees them all.
     """
-    ids = df.select(names.id).distinct()
-    order = W.orderBy(names.id)
-    numbers = ids.withColumn("__n", F.row_number().over(order) - 1 + offset)
+    count = ids.count() if count is None else count
+    if count <= RANGE:
+        return ids.withColumn(number, F.row_number().over(W.orderBy(key)) - 1)
+    path = f"{shared_dir(ids.sparkSession)}/ids-{uuid.uuid4().hex}"
+    ids.repartitionByRange(-(-count // RANGE) + 1, key).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    dealt = ids.sparkSession.read.parquet(path)
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(W.orderBy("__range")) - F.col("__size")  # a row a range
+    within = F.row_number().over(W.partitionBy("__range").orderBy(key)) - 1
+    bases = F.broadcast(sizes.select("__range", before.alias("__base")))
+    return dealt.withColumn(number, within).join(bases, "__range").withColumn(number, F.col("__base") + F.col(number)).select(*ids.columns, number)
+
+
+def renamed(df: DataFrame, alias: str, names: Names = DEFAULT, offset: int = 0, count: int | None = None) -> DataFrame:
+    """Ids become id_alias and a number by the order of ids, from ``offset``; ``count`` is the number of distinct ids, if known."""
+    numbers = numbered(df.select(names.id).distinct(), names.id, "__n", count).withColumn("__n", F.col("__n") + offset)
     new = F.concat(F.col(names.id), F.lit(f"_{alias}"), F.col("__n").cast("string"))
     return df.join(numbers, names.id).withColumn(names.id, new).drop("__n").select(df.columns)
 
@@ -44,8 +63,9 @@ class Generator:
         out = self._make(df)
         if not self.rename:
             return out
-        named = renamed(out, self.alias, self.names, self.counter)
-        self.counter += df.select(self.names.id).distinct().count()
+        count = df.select(self.names.id).distinct().count()
+        named = renamed(out, self.alias, self.names, self.counter, count)
+        self.counter += count
         return named
 
     def augment(self, df: DataFrame) -> DataFrame:
@@ -149,13 +169,13 @@ class TSMixup(Generator):
     def transform(self, df: DataFrame, n_series: int = -1) -> DataFrame:
         uid, ds, y = self.names.id, self.names.time, self.names.target
         sizes = df.groupBy(uid).agg(F.count(F.lit(1)).alias("n"))
-        listed = sizes.withColumn("number", F.row_number().over(W.orderBy(uid)) - 1)
+        listed = numbered(sizes, uid, "number")
         count = sizes.agg(F.count(F.lit(1)).alias("uids"))
         spark = df.sparkSession
         outs = spark.range(n_series) if n_series >= 0 else listed.select(F.col("number").cast("long").alias("id"))
         seed = self.seed
         draws = outs.crossJoin(F.broadcast(count)).withColumn("k", rng.randint(seed, "k", F.lit(1), F.lit(self.max_uids), F.col("id")))
-        draws = draws.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumn("number", F.floor(rng.uniform(seed, "uid", F.col("id"), F.col("j")) * F.col("uids")).cast("int"))
+        draws = draws.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumn("number", F.floor(rng.uniform(seed, "uid", F.col("id"), F.col("j")) * F.col("uids")).cast("long"))
         draws = draws.groupBy("id", "number").agg(F.min("j").alias("j")).join(listed, "number")
         gamma = rng.gamma(seed, "gamma", self.alpha, F.col("id"), F.col("j"))
         each = W.partitionBy("id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.operators import barycenters
-from seriesmill.operators.synth import Generator, spline_basis
+from seriesmill.operators.synth import Generator, numbered, spline_basis
 from seriesmill.panel import DEFAULT, Names
 
 
@@ -152,18 +152,16 @@ class DBA(Generator):
         self.max_uids, self.alpha, self.max_iter, self.tol = max_n_uids, dirichlet_alpha, max_iter, tol
 
     def transform(self, df: DataFrame, n_series: int = -1) -> DataFrame:
-        from pyspark.sql import Window as W
-
         from seriesmill.functions import rng
 
         uid, ds, y = self.names.id, self.names.time, self.names.target
         order = F.array_sort(F.collect_list(F.struct(F.col(ds).alias("t"), F.col(y).cast("double").alias("v"))))
-        listed = df.select(uid).distinct().withColumn("number", F.row_number().over(W.orderBy(uid)) - 1)
+        listed = numbered(df.select(uid).distinct(), uid, "number")
         count = listed.agg(F.count(F.lit(1)).alias("uids"))
         outs = df.sparkSession.range(n_series) if n_series >= 0 else listed.select(F.col("number").cast("long").alias("id"))
         draws = outs.crossJoin(F.broadcast(count)).withColumn("k", rng.randint(self.seed, "k", F.lit(1), F.lit(self.max_uids), F.col("id")))
         draws = draws.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k"))))
-        draws = draws.select("id", F.floor(rng.uniform(self.seed, "uid", F.col("id"), F.col("j")) * F.col("uids")).cast("int").alias("number")).distinct().join(listed, "number")
+        draws = draws.select("id", F.floor(rng.uniform(self.seed, "uid", F.col("id"), F.col("j")) * F.col("uids")).cast("long").alias("number")).distinct().join(listed, "number")
         series = df.groupBy(uid).agg(order.alias("rows")).select(uid, F.transform("rows", lambda r: r.t).alias("t"), F.transform("rows", lambda r: r.v).alias("v"))
         kind = dict(df.dtypes)[ds]
 
