@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from seriesmill.functions.transforms import let, total
 from seriesmill.operators import weighting
 from seriesmill.operators.ensembles import Ensemble
 from seriesmill.panel import whole_members
+from seriesmill.shared import shared_dir
+
+CHAIN = 1 << 18  # rows of a global chain that one task folds
 
 
 class Mixture(Ensemble):
@@ -19,8 +23,10 @@ class Mixture(Ensemble):
 
     One chain over all rows in the order of (ds, unique_id), or with
     ``weight_by_uid`` one for each series in the order of ds. A chain is a fold
-    over an ordered array of narrow rows, inside the JVM; a global chain is
-    serial by its definition. ``which`` 'last' uses the weights before the last
+    over an ordered array of narrow rows, inside the JVM. A global chain is
+    serial by its definition; one of more than CHAIN rows is cut into ranges of
+    (ds, unique_id) in the shared folder, folded one after the other with the
+    state, a few numbers a member, handed on. ``which`` 'last' uses the weights before the last
     row's update, 'next' those after it. Rows with a missing value or forecast
     are dropped or, with ``na`` 'error', refused. Where a loss is undefined (a
     percentage of zero, the log of a forecast that is not positive) a member has
@@ -39,8 +45,11 @@ class Mixture(Ensemble):
         rows = whole_members(insample, [*self.models, "y"], self.na)
         row = F.struct("ds", "unique_id", F.col("y").cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in self.models]).alias("f"))
         keys = ["unique_id"] if self.by_uid else []
-        chains = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-        self.state = chains.withColumn("state", F.aggregate("rows", self._start(m), self._step)).drop("rows")
+        if self.by_uid or (count := rows.count()) <= CHAIN:
+            chains = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+            self.state = chains.withColumn("state", F.aggregate("rows", self._start(m), self._step)).drop("rows")
+        else:
+            self.state = self._by_ranges(rows.select(row.alias("row")), -(-count // CHAIN) + 1, m)
         w = F.col("state.w") if self.which == "last" else self._weights(F.col("state"), m)
         found = self.state.select(*keys, w.alias("weights"))
         if not self.by_uid:
@@ -55,6 +64,19 @@ class Mixture(Ensemble):
             found = keyed.select("unique_id", weighting.trimmed(F.col("weights"), F.col("keep"), "zero").alias("weights"))
         self.weights = found.select("unique_id", "weights")
 
+    def _by_ranges(self, rows: DataFrame, ranges: int, m: int) -> DataFrame:
+        spark = rows.sparkSession
+        path = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}"
+        dealt = rows.repartitionByRange(ranges, "row.ds", "row.unique_id").withColumn("__range", F.spark_partition_id())
+        dealt.write.partitionBy("__range").parquet(path)
+        dealt, state = spark.read.schema(dealt.schema).parquet(path), self._start(m)
+        for n in range(ranges):
+            part = dealt.where(F.col("__range") == n).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+            found = part.select(F.aggregate("rows", state, self._step).alias("state")).first().state
+            held = [F.array(*[F.lit(x) for x in value]) if isinstance(value, list) else F.lit(value) for value in found]
+            state = F.struct(*[value.alias(name) for name, value in zip(found.__fields__, held, strict=True)])
+        return spark.range(1).select(state.alias("state"))
+
     def _start(self, m: int) -> Column:
         fill = lambda x: F.array(*[F.lit(x)] * m)
         return F.struct(fill(0.0).alias("r"), fill(self.first_rate).alias("eta"), F.lit(0.0).alias("b"), fill(1.0 / m).alias("w"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seriesmill import shared
 from seriesmill.functions import metrics, rng
-from seriesmill.operators import ade, barycenters, longhorizon, synth_arrow
+from seriesmill.operators import ade, barycenters, longhorizon, mixture, synth_arrow
 from seriesmill.operators.mixture import MLewa, MLpol
 from seriesmill.plans import queries
 from seriesmill.sources import panels
@@ -300,3 +300,15 @@ def test_shared_folder(spark, monkeypatch):
     local = Session("local[4]")
     assert shared.shared_dir(local) == shared.shared_dir(local) and shared.shared_dir(local).startswith("file:///")
     assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize("make", [lambda: mixture.MLpol("square", True), lambda: mixture.MLewa("absolute", False, which="next"), lambda: mixture.MLpol("percentage", False, trim_ratio=0.5)])
+def test_long_chains_are_folded_by_ranges(spark, monkeypatch, make):
+    """A global chain cut into ranges ends in the state of one fold, undefined losses, tied times and repeated rows included."""
+    rows = [(f"s{u}", t, float((u * 7 + t * 5) % 6), float((t * 3 + u) % 7), float((t + u * 2) % 5 + 1), float((t * 11) % 13)) for u in range(4) for t in range(20)]
+    df = spark.createDataFrame(rows + rows[:9], "unique_id string, ds int, y double, a double, b double, c double")
+    whole = make().fit(df, ["a", "b", "c"])
+    monkeypatch.setattr(mixture, "CHAIN", 12)
+    parts = make().fit(df.repartition(6), ["a", "b", "c"])
+    assert parts.state.first().state == whole.state.first().state
+    assert sorted(parts.weights.collect()) == sorted(whole.weights.collect())
