@@ -46,8 +46,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with a 5-word Jaccard similarity of 0.8 or more one row stays, one with the smallest doc_id.
 
-    Rows without an id come last; of rows that share the id that of least text
-    digest stays.
+    Candidates are the texts that op3's SimHash operator links, and those of
+    MinHash bands, for similar texts may differ in more bits than its blocks
+    reach; whole sets decide. Rows without an id come last; of rows that share
+    the id that of least text digest stays.
     """
     found = near_jaccard.near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")

@@ -1,4 +1,4 @@
-"""Near-duplicate detection by Jaccard similarity: MinHash bands give candidates, exact shingle sets decide."""
+"""Near-duplicate detection by Jaccard similarity: SimHash fingerprints and MinHash bands give candidates, exact shingle sets decide."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.llm import simhash
 from seriesmill.llm.common import components, stored, text_or_empty
 
 SEED = 42
+DISTANCE = 6  # bits by which fingerprints of candidates differ at most; keys of two blocks then have 16 bits, so few rows share one by chance
 BANDS, ROWS = 40, 5  # a pair at 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 40 = 1.2e-7
 ALIKE = 120  # of the 200 bytes of two sketches so many are equal; fewer at 0.8 have a chance of about 1e-11
 PIECE = 512  # shingles permuted at a time
@@ -57,21 +59,23 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, fp, keys, sketch) of rows (doc_id, digest, body): a hash of the set, of each band, and a byte of each minimum."""
+    """(doc_id, digest, fp, print, keys, sketch) of rows (doc_id, digest, body): a hash of the set, the SimHash fingerprint, a hash of each band, and a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys, marks = [], [], []
+            fps, prints, keys, marks = [], [], [], []
             for x in b.column(2):
                 hashes = shingles(x.as_py(), width)
                 least = minima(hashes)
                 fps.append(_key(hashes))
+                prints.append(simhash.fingerprint(x.as_py(), width))
                 keys.extend(xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, ROWS)))
                 marks.append(least.astype(np.uint8).tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), pa.array(_signed(keys)))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(_signed(fps)), lists, pa.array(marks, pa.binary())], names=["doc_id", "digest", "fp", "keys", "sketch"])
+            columns = [b.column(0), b.column(1), pa.array(_signed(fps)), pa.array(_signed(prints)), lists, pa.array(marks, pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "digest", "fp", "print", "keys", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, digest binary, fp long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, digest binary, fp long, print long, keys array<long>, sketch binary")
 
 
 def _spanning(percent: int | None):
@@ -130,16 +134,33 @@ def _links(rows: DataFrame, percent: int | None = None) -> DataFrame:
     return tiles.mapInArrow(_spanning(percent), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _by_prints(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (src, dst) of fp that connect the sets as all pairs of SimHash fingerprints within ``distance`` would, by simhash.links."""
+    held = prints.select("print", "fp").distinct()
+    reps = stored(held.groupBy("print").agg(F.min("fp").alias("rep")), "prints")
+    equal = held.join(reps, "print").where("fp <> rep").select(F.col("fp").alias("src"), F.col("rep").alias("dst"))
+    return equal.union(simhash.links(reps.select(F.col("print").alias("fp"), "rep"), distance))
+
+
+def _by_bands(nodes: DataFrame) -> DataFrame:
+    """Links (src, dst) of fp that span the sets which share a band of minima and have like sketches."""
+    keyed = nodes.select("fp", F.explode("keys").alias("k"))
+    shared = stored(keyed.join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "k"), "shared")
+    return _links(shared.join(nodes.select("fp", "sketch"), "fp"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, class_id, component_id) of every row; component_id is the smallest doc_id reachable over pairs of similar texts.
 
     Two texts are similar if the Jaccard similarity of their sets of ``width``
     words is ``percent`` (80 at least) or more. Words are split at ASCII white
     space and ASCII letters lower-cased; a shorter text is one shingle. Equal
-    sets are one node, whatever ids they have. Nodes that share a band of minima
-    and have like sketches are linked, and all pairs within each component of
-    these links are decided by their whole sets, so no dissimilar pair is
-    linked; a similar one is missed with a chance of 1.2e-7 at most. Null, empty
+    sets are one node, whatever ids they have. Nodes are linked where SimHash
+    fingerprints of their texts' shingles differ in ``distance`` bits or fewer,
+    and, since similar texts may differ in more, where they share a band of
+    minima and have like sketches. All pairs within each component of these
+    links are decided by their whole sets, so no dissimilar pair is linked; a
+    similar one is missed with a chance of 1.2e-7 at most. Null, empty
     and blank texts have no shingle and are one node. ``class_id`` names the
     component, ``digest`` is the SHA-256 of the row's text. component_id is null
     where no row of the component has an id. Repeated rows stay. An empty table
@@ -151,10 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("body"))
     prints = stored(sketches(rows, width), "sketches")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("digest").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-
-    keyed = nodes.select("fp", F.explode("keys").alias("k"))
-    shared = stored(keyed.join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "k"), "shared")
-    like = components(stored(_links(shared.join(nodes.select("fp", "sketch"), "fp")), "like")).toDF("fp", "k")
+    like = components(stored(_by_prints(prints, distance).union(_by_bands(nodes)), "like")).toDF("fp", "k")
 
     sizes = like.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     members = stored(like.join(sizes, "k").join(nodes.select("fp", "rep", "sketch"), "fp"), "members")

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from seriesmill.llm import common, near_jaccard
+from seriesmill.llm import common, near_jaccard, simhash
 
 
 def plain_sets(texts):
@@ -67,3 +67,36 @@ def test_edges(spark):
     chain = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(words + ["x", "y", "z"])), (2, " ".join(words + ["x", "y", "z", "u", "v", "t"]))], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in near_jaccard.near_duplicates(chain, percent=90).collect()} == {(1, 1), (None, 1), (2, 1)}
     assert near_jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    """Without bands the stage still links every similar pair within the distance, and no dissimilar text."""
+    texts = corpus(random.Random(5))
+    want, sets = plain_components(texts), plain_sets(texts)
+    prints = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in texts.items()}
+    docs = common.stored(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "docs")
+    monkeypatch.setattr(near_jaccard, "_by_bands", lambda nodes: spark.createDataFrame([], "src long, dst long"))
+    found = {r.doc_id: r.component_id for r in near_jaccard.near_duplicates(docs).collect()}
+    close = 0
+    for a, b in combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and (prints[a] ^ prints[b]).bit_count() <= near_jaccard.DISTANCE:
+            assert found[a] == found[b]
+            close += sets[a] != sets[b]
+        assert found[a] != found[b] or want[a] == want[b]
+    assert close > 20
+    left = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert left == set(found.values()) and len(left) < len(texts)
+
+
+def test_equal_fingerprints_of_unlike_sets(spark):
+    """Texts of one fingerprint are candidates, whatever the bands say, and stay apart if their sets are not similar."""
+    line = "the same seven words again and again"
+    texts = {1: " ".join([line] * 300), 2: " ".join([line] * 300 + ["with", "another", "ending", "of", "eight", "more", "new", "words"]), 3: " ".join([line] * 301)}
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in texts.items()}
+    assert len(set(prints.values())) < 3
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = docs.selectExpr("doc_id", "unhex(sha2(text, 256)) AS digest", "cast(text AS binary) AS body")
+    linked = near_jaccard._by_prints(common.stored(near_jaccard.sketches(rows, 5), "sketches"), near_jaccard.DISTANCE).collect()
+    assert len(linked) == 1
+    assert {r.doc_id: r.component_id for r in near_jaccard.near_duplicates(docs).collect()} == plain_components(texts) == {1: 1, 2: 2, 3: 1}
