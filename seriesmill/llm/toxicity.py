@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seriesmill.llm.common import least_hashes, stored, text_or_empty
 
 SAMPLE = 8_000  # labelled rows that are learned from, at most
+PARTS = 8  # tasks that write the sample's word sets; each file written starts processes beside the executor's
 FEATURES = 2048  # words with a weight, at most
 LEAST_DOCS = 5  # labelled documents that hold a word, at least
 LEAST_Z = 5.0  # how far a word's shares among toxic and other texts must differ, in standard errors
@@ -173,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     gets at most FEATURES words, and of each sampled text the numbers of those
     that it holds.
     """
-    sets = stored(word_sets(labelled(docs, labels, sample, doc_id, text, toxic)), "word-sets")
+    sets = stored(word_sets(labelled(docs, labels, sample, doc_id, text, toxic).coalesce(PARTS)), "word-sets")
     n = {r.toxic: r.n for r in sets.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = telling_words(sets, n.get(True, 0), n.get(False, 0))
     index = {w: i for i, w in enumerate(names)}

@@ -419,6 +419,22 @@ def made_texts(rng, n, spark, repeats=1):
     return rows, docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
 
 
+def test_toxicity_sample_is_written_by_few_tasks(spark, monkeypatch):
+    """The bounded sample is not dealt out over as many tasks, and files, as a whole table; the model stays the same."""
+    _, docs, labels = made_texts(random.Random(9), 400, spark)
+    want, parts = toxicity.train(docs, labels, steps=40), []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    monkeypatch.setattr(toxicity, "stored", lambda df, label: parts.append(len((out := common.stored(df, label)).inputFiles())) or out)
+    try:
+        found = toxicity.train(docs, labels, steps=40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(parts) == 1 and 0 < parts[0] <= toxicity.PARTS
+    assert found.weights == want.weights and found.cut == want.cut and (found.thresholds == want.thresholds).all()
+
+
 def test_toxicity_grades_come_from_other_folds(spark):
     """No row's grade follows from its own label or a count; grades and severity rise with the degree on rows not learned from."""
     rng = random.Random(2)
