@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +20,30 @@ from seriesmill.llm.common import remembered, text_or_empty
 #: Row index entries every STRIDE rows; Bloom filters with a false-positive rate of FPP; stripes of about STRIPE bytes.
 STRIDE, FPP, STRIPE = 1000, 0.01, 64 << 20
 FILES = 100_000  # files whose bases may be broadcast
+LONG = 256  # bytes of the longest pieces whose ids outlast a window
 #: Letters of ASCII and Latin-1, then marks of ASCII other than those of contractions and special tokens.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{}~]*)")
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{}~]*)")
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
+class _Ids(dict):
+    """The ids of words by word; one that is not there is learned."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.learn(word)
+
+
 class WordEncoder:
     """A tokenizer whose words never cross ASCII white space, with the ids of recent words kept.
 
     Normalizing and splitting act on each run of other characters alone, so a
     text's ids are those of its runs in order. A run of plain letters and marks
     is one piece of each, and the merges take such a piece without the rest.
+    Once CACHE words are kept a new table begins, and words of the one
+    before move there as they are met, so frequent words are learned once.
     """
 
     def __init__(self, path: str):
@@ -39,30 +52,37 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
-        self.merges, self.letters = self.whole.model, byte_letters()
-        self.known: dict[bytes, bytes] = {}
+        self.merges, self.alphabet = self.whole.model, dict(enumerate(byte_letters()))
+        self.known, self.before, self.pieces, self.long = _Ids(self._learn), {}, {}, []
 
-    def _merged(self, letters: bytes) -> bytes:
-        found = self.known.get(letters)
-        if found is None:
-            text = letters.decode().lower()
-            piece = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            found = self.known[letters] = array("i", [t.id for t in self.merges.tokenize(piece)]).tobytes()
+    def _letters(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("i", [t.id for t in self.merges.tokenize(plain)]).tobytes()
+
+    def _encoded(self, text: str) -> bytes:
+        return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str, encoded: Callable[[str], bytes]) -> bytes:
+        found = encoded(piece)
+        if len(piece) <= LONG:
+            self.pieces[piece] = found
         return found
 
-    def _learn(self, words: list[bytes]) -> None:
-        rest = []
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                letters, marks = m.groups()
-                tail = self.known.get(marks)
-                if tail is None:
-                    tail = self.known[marks] = array("i", self.whole.encode(marks.decode(), add_special_tokens=False).ids).tobytes()
-                self.known[w] = self._merged(letters.lower()) + tail
+    def _learn(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            text = word.decode()
+            if m := _PLAIN.fullmatch(text):
+                letters, marks = m[1].lower(), m[2]
+                found = self.pieces.get(letters) or self._piece(letters, self._letters)
+                if marks:
+                    found += self.pieces.get(marks) or self._piece(marks, self._encoded)
             else:
-                rest.append(w)
-        for w, e in zip(rest, self.whole.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.known[w] = array("i", e.ids).tobytes()
+                found = self._encoded(text)
+        self.known[word] = found
+        if len(word) > LONG:
+            self.long.append(word)
+        return found
 
     def encode(self, text: bytes, window: int = 1 << 20) -> bytes:
         """Little-endian 32-bit ids of a text in UTF-8."""
@@ -73,13 +93,12 @@ class WordEncoder:
                 end += 1
             words, at = text[at:end].split(), end
             if len(self.known) > CACHE:
-                self.known.clear()
-            if new := [w for w in set(words) if w not in self.known]:
-                self._learn(new)
+                self.before, self.known = self.known, _Ids(self._learn)
+            if len(self.pieces) > CACHE:
+                self.pieces.clear()
             out.append(b"".join(map(self.known.__getitem__, words)))
-            for w in new:
-                if len(w) > 256:
-                    self.known.pop(w, None)
+            while self.long:
+                self.known.pop(self.long.pop(), None)
         return b"".join(out)
 
 
@@ -136,7 +155,8 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in b.column(3)]
+            flat, at = b.column(3).values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), b.column(3).offsets.to_numpy()
+            crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

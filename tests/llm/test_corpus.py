@@ -199,6 +199,26 @@ def test_encoders_equal_the_library(monkeypatch):
         assert np.frombuffer(runs.encode(text.encode(), window=13), "<i4").tolist() == word.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_are_learned_once(monkeypatch):
+    """Words that keep coming are not encoded again when the tables are full, which hold no more than their share."""
+    monkeypatch.setattr(token_files, "CACHE", 50)
+    word, runs, rng = library(WORD), token_files.WordEncoder(WORD), random.Random(4)
+    taken, merges = Counter(), runs.merges
+
+    class Merges:
+        def tokenize(self, piece):
+            taken[piece] += 1
+            return merges.tokenize(piece)
+
+    runs.merges = Merges()
+    for i in range(200):
+        text = " ".join(["often", "Often,", "größe", "größe.", "naïve", *(f"{rng.choice(['ab', 'Éb', 'the'])}{''.join(rng.choices('abcdeé', k=6))}{rng.choice(['', '.', ',!'])}" for _ in range(20)), "x" * 400, "日本"])
+        assert np.frombuffer(runs.encode(text.encode()), "<i4").tolist() == word.encode(text, add_special_tokens=False).ids
+        assert max(map(len, (runs.known, runs.before, runs.pieces))) <= 50 + 60 and all(len(w) <= token_files.LONG for w in runs.known)
+    often = "".join(bpe.byte_letters()[b] for b in "größe".encode())
+    assert taken["often"] == 1 and taken[often] == 1 and len(taken) > 3000
+
+
 def test_bpe_query(spark, documents, edges, empty):
     t = library(BYTE)
     rows = got("op6_bpe", spark).set_index("doc_id")
